@@ -121,9 +121,10 @@ def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) ->
 
     any_hits = holding(asked.select("query_id", "in_kb", F.explode("any").alias("term")))
     lengths = asked.agg(F.collect_set(F.length("prefix")).alias("n")).select("n").scalar()
-    heads = F.explode(F.filter(lengths, lambda n: n <= F.length("term")))
+    heads = F.explode(F.filter("_lengths", lambda n: n <= F.length("term")))
     prefix_hits = (
-        postings.withColumn("_n", heads)
+        postings.withColumn("_lengths", lengths)
+        .withColumn("_n", heads)
         .withColumn("prefix", F.expr("substring(term, 1, _n)"))
         .join(asked.filter("prefix is not null").select("query_id", "in_kb", "prefix"), "prefix")
         .filter(inside)

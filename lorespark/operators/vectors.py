@@ -91,7 +91,8 @@ class Nearest:
         width = max(1, self.cells // max(1, len(vec_ids)))
         for start in range(0, len(self.ids), width):
             rows = slice(start, start + width)
-            distance = np.round(1.0 - self.units[rows] @ units.T, DISTANCE_PLACES)
+            # adding zero turns a negative zero into a plain one
+            distance = np.round(1.0 - self.units[rows] @ units.T, DISTANCE_PLACES) + 0.0
             distance[~self.sound[rows]] = NO_DIRECTION
             distance[:, ~sound] = NO_DIRECTION
             limit = self.worst[rows]
