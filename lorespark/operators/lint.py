@@ -20,6 +20,7 @@ from lorespark.operators.wiki import (
     write_index,
 )
 from lorespark.schemas import LINT_TYPES
+from lorespark.session import durable
 
 ISSUE = [
     "kb_id",
@@ -204,13 +205,13 @@ def lint_fix(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repair what can be repaired: ``(pages, page_sources, fixed issues)``.
 
-    Missing pages first, then stale references, then the index over the repaired pages. Only
+    Issues and repaired pages are stored, since each is read several times. Missing pages first, then stale references, then the index over the repaired pages. Only
     kbs with an index issue, or whose pages the repair itself changed, get a new index.
     """
     if issues is None:
         issues = lint_issues(pages, links, page_sources, sources)
-    fixed = issues.filter("auto_fixable")
-    repaired = fix_missing_pages(pages, fixed, now)
+    fixed = durable(issues.filter("auto_fixable"))
+    repaired = durable(fix_missing_pages(pages, fixed, now))
     refs = fix_stale_refs(page_sources, fixed)
     touched = fixed.filter(F.col("type").isin("index_drift", "missing_page")).select("kb_id")
     touched = touched.distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.plans import search_queries, text_queries, vector_queries  # noqa: F401
+from lorespark.plans import search_queries, text_queries, vector_queries, wiki_queries  # noqa: F401
 from lorespark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.frames import spread
+from lorespark.operators.wiki import build_index
+from lorespark.plans.wiki_views import START, WIKI_NEEDS, WIKI_VIEWS
+from lorespark.session import durable
 
 # The query texts asked of every knowledge base.
 QUERY_TEXTS = ["the and", "of in that", "la de", "under von", "zzzz"]
@@ -101,6 +104,26 @@ class Model:
             (minute(d) + F.expr("make_dt_interval(cast(doc_id % 10 as int))")).alias("updated_at"),
         )
 
+    def indexed_pages(self) -> DataFrame:
+        """Wiki pages with a stored index: right for half of the kbs, absent for some.
+
+        Written out first, as the pages table of a running wiki would be.
+        """
+        pages = durable(self.pages())
+        number = F.substring("kb_id", 4, 9).cast("int")
+        seen = pages.filter((number % 2 == 0) | (F.col("page_id").cast("long") % 50 != 0))
+        index = build_index(seen.filter(number % 7 != 3)).select(
+            F.concat(F.lit("index-"), "kb_id").alias("page_id"),
+            "kb_id",
+            "title",
+            "content",
+            F.lit("index").alias("page_type"),
+            F.array().cast("array<string>").alias("tags"),
+            minute(F.lit(0)).alias("created_at"),
+            minute(F.lit(0)).alias("updated_at"),
+        )
+        return durable(pages.unionByName(index))
+
     def links(self) -> DataFrame:
         d = F.col("doc_id")
         return (
@@ -270,12 +293,10 @@ def _case(key: str, values: list[str]) -> str:
     return f"case {key} {whens} end"
 
 
-TS = "timestamp '2024-01-01 00:00:00'"
-
 VIEWS = {
     "m_kbs": f"""
         select source as kb_id, 'kb ' || source as name,
-               {TS} + to_minutes(min(doc_id)) as created_at
+               {START} + to_minutes(min(doc_id)) as created_at
         from documents group by source""",
     "m_contents": """
         select doc_id::varchar as source_id, source as kb_id, 0 as part, text, lang
@@ -286,8 +307,8 @@ VIEWS = {
                  else doc_id + 20 * (1 + doc_id % 7) end) || ']]' as content,
                {_case('doc_id % 5', PAGE_TYPE_CYCLE)} as page_type,
                lang as tag,
-               {TS} + to_minutes(doc_id) as created_at,
-               {TS} + to_minutes(doc_id) + to_days((doc_id % 10)::int) as updated_at,
+               {START} + to_minutes(doc_id) as created_at,
+               {START} + to_minutes(doc_id) + to_days((doc_id % 10)::int) as updated_at,
                text
         from documents""",
     "m_links": """
@@ -322,7 +343,8 @@ VIEWS = {
                ts, 'event ' || event_id as error
         from events""",
 }
-VIEW_NEEDS = {"m_vector_queries": ["m_vectors"]}
+VIEWS.update(WIKI_VIEWS)
+VIEW_NEEDS = {"m_vector_queries": ["m_vectors"], **WIKI_NEEDS}
 
 
 def with_views(names: list[str], body: str) -> str:

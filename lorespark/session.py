@@ -1,8 +1,9 @@
-"""Session settings and the durable scratch folder."""
+"""Session settings and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,28 @@ def local_session(cores: str = "*", name: str = "lorespark", memory: str = "8g")
     )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, shared by all executors.
+
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master without one gets a
+    temporary folder, because there the driver's disk is every task's disk.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lorespark-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+    """The same rows, written to a table in the scratch folder and read back from it.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local master without
-    one gets a temporary folder, because there the driver's disk is every task's disk.
+    Cuts lineage, survives the loss of executors, and later readers still prune columns and
+    push filters.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="lorespark-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
