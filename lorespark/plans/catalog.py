@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from lorespark.plans import search_queries, text_queries, vector_queries, wiki_queries  # noqa: F401
+from lorespark.plans import (  # noqa: F401
+    search_queries,
+    table_queries,
+    text_queries,
+    vector_queries,
+    wiki_queries,
+)
 from lorespark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
