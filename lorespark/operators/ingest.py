@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.frames import reject
-from lorespark.operators.chunking import assign_chunk_ids, symbol_chunk, token_chunk
+from lorespark.operators.chunking import assign_chunk_ids, symbol_chunk
 from lorespark.operators.embedding import Embedder, embed
 from lorespark.operators.lifecycle import Tables, drop_chunks, get_sources
 from lorespark.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PHASES, SOURCE_TYPES
@@ -30,20 +29,19 @@ PREVIEW = 500
 def chunk_contents(
     contents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
-    """Chunks with ids; contents tagged with a language are split at symbols first."""
-    tagged = F.coalesce(F.map_contains_key("metadata", "language"), F.lit(False))
-    plain = token_chunk(contents.filter(~tagged), size, overlap)
-    code = symbol_chunk(contents.filter(tagged), size, overlap)
+    """Chunks with ids, in one pass: contents tagged with a language are split at symbols.
+
+    A symbol's type and name go into the metadata of its chunks.
+    """
+    pieces = symbol_chunk(contents, size, overlap)
     symbol = F.map_from_arrays(
         F.array(F.lit("symbol_type"), F.lit("symbol_name")),
         F.array("symbol_type", "symbol_name"),
     )
     own = F.map_filter("metadata", lambda k, _: ~k.isin("symbol_type", "symbol_name"))
-    code = code.withColumn(
-        "metadata", F.map_concat(own, F.map_filter(symbol, lambda _, v: v.isNotNull()))
-    )
-    both = plain.unionByName(code.drop("symbol_type", "symbol_name"))
-    return assign_chunk_ids(both).select(*CHUNK_COLUMNS)
+    tagged = F.map_concat(own, F.map_filter(symbol, lambda _, v: v.isNotNull()))
+    metadata = F.when(F.col("symbol_type").isNull(), F.col("metadata")).otherwise(tagged)
+    return assign_chunk_ids(pieces.withColumn("metadata", metadata)).select(*CHUNK_COLUMNS)
 
 
 def vectors_of(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -68,9 +66,7 @@ def first_chunks(chunks: DataFrame) -> DataFrame:
 
 def source_summaries(sources: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
     """A summary page per source, with its association in ``source_id``."""
-    counted = sources.join(first_chunks(chunks), "source_id", "left") if (
-        "chunk_count" not in sources.columns
-    ) else sources.drop("chunk_count").join(first_chunks(chunks), "source_id", "left")
+    counted = sources.drop("chunk_count").join(first_chunks(chunks), "source_id", "left")
     preview = F.when(
         F.col("preview").isNotNull(),
         F.concat(F.lit("\n## Content Preview\n\n"), "preview", F.lit("...")),
@@ -242,7 +238,3 @@ def refresh_sources(
     fresh = contents.join(ids.select("source_id"), "source_id", "left_semi")
     added = ingest(tables["kbs"], chosen, fresh.select(*contents.columns), now, **options)
     return append_ingested(cleared, added)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -9,6 +9,7 @@ from lorespark.functions.arrays import bind, run_lengths
 from lorespark.functions.frames import top_k
 from lorespark.functions.text import normalized, terms
 from lorespark.schemas import TOP_K
+from lorespark.session import durable
 
 # The usual BM25 parameters.
 K1 = 1.2
@@ -45,6 +46,45 @@ def build_postings(pages: DataFrame) -> DataFrame:
     return rows.select("kb_id", "page_id", "p.*")
 
 
+def search_index(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(postings, stats)`` for searching pages that have no stored index.
+
+    One pass over the texts keeps only the query terms and, per page, a row without a term
+    that carries its length; that slim table is stored, so nothing reads the texts again.
+    """
+
+    def counted(words: Column) -> Column:
+        return bind(
+            words,
+            lambda w: F.concat(
+                F.transform(
+                    F.coalesce(run_lengths(w), F.array().cast("array<struct<item:string,n:int>>")),
+                    lambda r: F.struct(
+                        r["item"].alias("term"), r["n"].alias("tf"), F.size(w).alias("doc_len")
+                    ),
+                ),
+                F.array(
+                    F.struct(
+                        F.lit(None).cast("string").alias("term"),
+                        F.lit(0).alias("tf"),
+                        F.size(w).alias("doc_len"),
+                    )
+                ),
+            ),
+        )
+
+    rows = pages.select("kb_id", "page_id", F.explode(counted(terms(page_text(pages)))).alias("p"))
+    wanted = query_terms(queries).select("term").distinct().withColumn("asked", F.lit(True))
+    slim = (
+        rows.select("kb_id", "page_id", "p.*")
+        .join(wanted, "term", "left")
+        .filter(F.col("asked") | F.col("term").isNull())
+        .drop("asked")
+    )
+    slim = durable(slim)
+    return slim.filter("term is not null"), slim.filter("term is null").drop("term", "tf")
+
+
 def doc_stats(pages: DataFrame) -> DataFrame:
     """``(kb_id, page_id, doc_len)`` for every page, also those without a term."""
     return pages.select("kb_id", "page_id", F.size(terms(page_text(pages))).alias("doc_len"))
@@ -227,8 +267,8 @@ def keyword_search(
 
     Ranking works on ids; titles and contents are fetched for the ranked rows only.
     """
-    postings = build_postings(pages) if postings is None else postings
-    stats = doc_stats(pages) if stats is None else stats
+    if postings is None or stats is None:
+        postings, stats = search_index(pages, queries)
     ranked = rank_matches(bm25(postings, stats, queries, stats_scope), k)
     shown = pages.select(
         "page_id",

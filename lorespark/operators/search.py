@@ -12,6 +12,7 @@ from lorespark.operators.embedding import Embedder, embed, embed_queries
 from lorespark.operators.keyword import SCORE_PLACES, keyword_search
 from lorespark.operators.vectors import vector_topk
 from lorespark.schemas import KEYWORD_WEIGHT, TOP_K, VECTOR_WEIGHT
+from lorespark.session import durable
 
 RESULT = ["query_id", "kb_id", "rank", "content", "source_id", "source_type", "score", "metadata"]
 
@@ -108,9 +109,12 @@ def hybrid_search(
     keyword_weight: float = KEYWORD_WEIGHT,
     embedder: Embedder | None = None,
 ) -> DataFrame:
-    """Semantic and keyword search together, twice ``k`` fetched from each before merging."""
-    semantic = normalize_scores(semantic_search(chunks, queries, 2 * k, embedder))
-    keyword = normalize_scores(keyword_search(pages, queries, 2 * k))
+    """Semantic and keyword search together, twice ``k`` fetched from each before merging.
+
+    The two short lists are stored before they meet, since the merge reads each twice.
+    """
+    semantic = durable(normalize_scores(semantic_search(chunks, queries, 2 * k, embedder)))
+    keyword = durable(normalize_scores(keyword_search(pages, queries, 2 * k)))
     return merge_results(semantic, keyword, k, vector_weight, keyword_weight)
 
 

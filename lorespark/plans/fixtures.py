@@ -34,6 +34,9 @@ class Model:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    def spread_pages(self) -> DataFrame:
+        return spread(self.table("pages"), "page_id")
+
     def spread_documents(self) -> DataFrame:
         """For per-row text work: a single-file table still uses all cores."""
         columns = self.documents().select("doc_id", "text", "lang", "source")
@@ -107,9 +110,9 @@ class Model:
     def indexed_pages(self) -> DataFrame:
         """Wiki pages with a stored index: right for half of the kbs, absent for some.
 
-        Written out first, as the pages table of a running wiki would be.
+        Written out, as the pages table of a running wiki would be.
         """
-        pages = durable(self.pages())
+        pages = self.pages(wide=False)
         number = F.substring("kb_id", 4, 9).cast("int")
         seen = pages.filter((number % 2 == 0) | (F.col("page_id").cast("long") % 50 != 0))
         index = build_index(seen.filter(number % 7 != 3)).select(
@@ -122,7 +125,7 @@ class Model:
             minute(F.lit(0)).alias("created_at"),
             minute(F.lit(0)).alias("updated_at"),
         )
-        return durable(pages.unionByName(index))
+        return durable(self.pages().unionByName(index))
 
     def links(self) -> DataFrame:
         d = F.col("doc_id")
@@ -358,5 +361,6 @@ def with_views(names: list[str], body: str) -> str:
     if not head:
         return body.strip()
     body = body.strip()
-    joiner = ",\n" + body[5:] if body.lower().startswith("with ") else "\n" + body
-    return f"with {head}{joiner}"
+    start = "with recursive " if body.startswith("with recursive ") else "with "
+    joiner = ",\n" + body.removeprefix(start) if body.startswith("with ") else "\n" + body
+    return f"{start}{head}{joiner}"

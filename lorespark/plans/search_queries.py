@@ -13,6 +13,7 @@ from lorespark.operators.keyword import (
     match_boolean,
     match_pages,
     refresh_postings,
+    search_index,
 )
 from lorespark.operators.ingest import chunk_contents
 from lorespark.operators.search import hybrid_search, normalize_scores, semantic_search
@@ -144,8 +145,8 @@ def keyword_boolean(m: Model) -> DataFrame:
     select query_id, kb_id, page_id, round(score, 6) as score from scored""",
 )
 def bm25_rank(m: Model) -> DataFrame:
-    pages = m.pages()
-    found = bm25(build_postings(pages), doc_stats(pages), m.queries())
+    queries = m.queries()
+    found = bm25(*search_index(m.pages(), queries), queries)
     return found.withColumn("score", F.round("score", 6))
 
 

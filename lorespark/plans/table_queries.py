@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,9 @@ from lorespark.plans.fixtures import Model, minute
 from lorespark.plans.registry import query
 from lorespark.plans.text_queries import CHUNKS_SQL, OVERLAP, SIZE
 from lorespark.plans.wiki_views import START
-from lorespark.session import durable, scratch_folder
+from lorespark.session import scratch_folder
 from lorespark.streaming.ingest import ingest_stream, latest_chunks, stream_contents
+from lorespark.streaming.runs import ROCKSDB, store_run_states, stream_run_events
 
 NOW = 525_600
 
@@ -363,12 +365,54 @@ def export_since(m: Model) -> DataFrame:
 def ingest_stream_query(m: Model) -> DataFrame:
     """The documents as arriving files; the stream stores what the batch form computes."""
     spark = m.spark
-    arrived = durable(m.contents().withColumn("part", F.col("part").cast("int")))
-    base = f"{scratch_folder(spark)}/stream-{arrived.inputFiles()[0].split('/')[-2]}"
-    folder = arrived.inputFiles()[0].rsplit("/", 1)[0]
+    folder, base = _arrived(m.contents())
     run = ingest_stream(
         stream_contents(spark, folder), f"{base}/chunks", f"{base}/log", size=SIZE, overlap=OVERLAP
     )
     run.awaitTermination()
     stored = latest_chunks(spark, f"{base}/chunks")
     return stored.select("chunk_id", "source_id", "kb_id", "chunk_index", "content")
+
+
+def _arrived(df: DataFrame) -> tuple[str, str]:
+    """A folder with the rows as files, and a fresh base folder for what a stream stores."""
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    folder = f"{scratch_folder(spark)}/{name}-in"
+    df.write.parquet(folder)
+    return folder, f"{scratch_folder(spark)}/{name}-out"
+
+
+@query(
+    "run_stream",
+    ["m_run_events"],
+    """with recursive ev as (
+      select *, row_number() over (partition by run_id order by ts, seq) as rn from m_run_events),
+    walk as (
+      select run_id, rn, seq, phase, status, pos = 0 and status = 'running' as accepted,
+        case when pos = 0 and status = 'running' then pos end as s_pos,
+        case when pos = 0 and status = 'running' then status end as s_status
+      from ev where rn = 1
+      union all
+      select run_id, rn, seq, phase, status, ok, case when ok then pos else s_pos end,
+        case when ok then status else s_status end
+      from (
+        select e.*, w.s_pos, w.s_status, coalesce(case
+          when w.s_status is null then e.pos = 0 and e.status = 'running'
+          when w.s_status = 'completed' then e.pos = w.s_pos + 1 and e.status = 'running'
+          when w.s_status = 'running' then e.pos = w.s_pos and e.status in ('completed', 'failed')
+          when w.s_status = 'failed' then e.pos = w.s_pos and e.status = 'running' end, false) as ok
+        from walk w join ev e on e.run_id = w.run_id and e.rn = w.rn + 1))
+    select run_id, seq, phase, status, accepted,
+      ['initialize', 'read_source', 'chunk', 'embed', 'integrate_wiki', 'finalize'][s_pos + 1] as state_phase,
+      s_status as state_status
+    from walk""",
+)
+def run_stream(m: Model) -> DataFrame:
+    """The run log as a stream: refused moves leave a run where it was."""
+    spark = m.spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder, base = _arrived(m.run_events().withColumn("ts", F.col("ts").cast("timestamp")))
+    run = store_run_states(stream_run_events(spark, folder), f"{base}/states", f"{base}/log")
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/states").drop("ts")

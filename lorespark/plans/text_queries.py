@@ -18,7 +18,7 @@ from lorespark.plans.fixtures import IGNORE, Model
 from lorespark.plans.registry import query, sql_tokens
 from lorespark.sources.commits import commit_documents
 from lorespark.sources.files import EXCLUDED_DIRS, filter_paths
-from lorespark.sources.html import ENTITIES, RULES, TITLE, extract_pages
+from lorespark.sources.html import ENTITIES, RULES, TITLE, TITLE_RULES, extract_pages
 from lorespark.sources.jsontext import normalize_json
 from lorespark.sources.metadata import merge_metadata
 from lorespark.sources.responses import response_documents
@@ -166,7 +166,10 @@ def _quoted(text: str) -> str:
 
 def _replaced(column: str, rules: list[tuple[str, str]]) -> str:
     for pattern, new in rules:
-        column = f"regexp_replace({column}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+        if (pattern, new) in ENTITIES:
+            column = f"replace({column}, {_quoted(pattern)}, {_quoted(new)})"
+        else:
+            column = f"regexp_replace({column}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
     return column
 
 
@@ -176,12 +179,12 @@ def _replaced(column: str, rules: list[tuple[str, str]]) -> str:
     f"""select * from (
       select page_id, url,
         {_replaced(f"regexp_extract(html, '{TITLE}', 1)",
-                   [*ENTITIES, (r"[ \t\r\n]+", " "), (r"^ | $", "")])} as title,
+                   TITLE_RULES)} as title,
         {_replaced("html", RULES)} as text
       from pages) where length(text) > 0""",
 )
 def page_text(m: Model) -> DataFrame:
-    return extract_pages(m.table("pages")).select("page_id", "url", "title", "text")
+    return extract_pages(m.spread_pages()).select("page_id", "url", "title", "text")
 
 
 @query(

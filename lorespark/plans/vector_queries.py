@@ -191,5 +191,10 @@ def hashed_sql(name: str, source: str, key: str, text: str, dim: int = 64) -> st
 )
 def hash_embeddings(m: Model) -> DataFrame:
     vectors = embed(m.contents().select("source_id", "text"), "text")
-    cells = vectors.select("source_id", F.posexplode("embedding").alias("bucket", "value"))
-    return cells.filter("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 6))
+    cell = F.transform(
+        "embedding",
+        lambda v, i: F.struct(
+            i.alias("bucket"), F.round(v.cast("double"), 6).alias("value")
+        ),
+    )
+    return vectors.select("source_id", F.inline(F.filter(cell, lambda c: c["value"] != 0)))

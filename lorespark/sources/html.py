@@ -21,10 +21,16 @@ ENTITIES = [
 ]
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 
+# Comments and boilerplate elements, whichever begins first.
+SKIPPED = "|".join(
+    [
+        r"<!--.*?-->",
+        *[rf"<{tag}(?:[ \t\r\n][^>]*)?>.*?</{tag}[ \t\r\n]*>" for tag in BOILERPLATE],
+    ]
+)
 # The rule chain as (pattern, replacement), shared with any engine that has plain regexes.
 RULES: list[tuple[str, str]] = [
-    (r"(?s)<!--.*?-->", ""),
-    *[(rf"(?is)<{tag}(?:[ \t\r\n][^>]*)?>.*?</{tag}[ \t\r\n]*>", "") for tag in BOILERPLATE],
+    (rf"(?is){SKIPPED}", ""),
     (rf"(?i)</?(?:{LINE_BREAKING})(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[^>]*>", ""),
     *ENTITIES,
@@ -32,19 +38,24 @@ RULES: list[tuple[str, str]] = [
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 ]
+TITLE_RULES: list[tuple[str, str]] = [*ENTITIES, (r"[ \t\r\n]+", " "), (r"^ | $", "")]
+
+
+def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, new in rules:
+        if (pattern, new) in ENTITIES:
+            text = F.replace(text, F.lit(pattern), F.lit(new))
+        else:
+            text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def page_title(html: Column) -> Column:
-    title = F.regexp_extract(html, TITLE, 1)
-    for pattern, new in [*ENTITIES, (r"[ \t\r\n]+", " "), (r"^ | $", "")]:
-        title = F.regexp_replace(title, pattern, new)
-    return title
+    return rewritten(F.regexp_extract(html, TITLE, 1), TITLE_RULES)
 
 
 def page_body(html: Column) -> Column:
-    for pattern, new in RULES:
-        html = F.regexp_replace(html, pattern, new)
-    return html
+    return rewritten(html, RULES)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lorespark.schemas import PHASES
+from lorespark.schemas import PHASES, RUN_EVENTS
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = (
     "run_id string, seq long, phase string, status string, accepted boolean,"
     " state_phase string, state_status string, ts timestamp"
@@ -67,3 +68,28 @@ def run_status_stream(run_events: DataFrame) -> DataFrame:
         outputMode="Append",
         timeMode="None",
     )
+
+
+def stream_run_events(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Run events files as they arrive in a folder."""
+    return (
+        spark.readStream.schema(RUN_EVENTS)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(directory)
+    )
+
+
+def store_run_states(run_events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Judge everything that has arrived, append the result to a table, then stop.
+
+    The session must keep its stream state in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    return (
+        run_status_stream(run_events)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
