@@ -177,12 +177,21 @@ def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) ->
         F.size(words).alias("n"),
         F.explode(words).alias("term"),
     )
+    # a bar between the fields keeps a phrase from running across two of them
+    fields = F.concat_ws(
+        "|",
+        *[
+            normalized(F.array_join(c, " ") if c == "tags" else F.col(c))
+            for c in ("title", "content", "tags")
+            if c in pages.columns
+        ],
+    )
     phrase_hits = (
         holding(phrase_words)
         .groupBy(*page, "flat", "n")
         .agg(F.count(F.lit(1)).alias("met"))
         .filter(F.col("met") == F.col("n"))
-        .join(pages.select("page_id", normalized(page_text(pages)).alias("text")), "page_id")
+        .join(pages.select("page_id", fields.alias("text")), "page_id")
         .filter(F.col("text").contains(F.col("flat")))
     )
     met = (

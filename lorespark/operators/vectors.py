@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions.frames import latest, replace_rows, top_k
 from lorespark.schemas import TOP_K
@@ -177,6 +176,9 @@ def _tiled_matches(vectors: DataFrame, queries: DataFrame, k: int, tile: int) ->
     only its ``k`` best per query.
     """
 
+    # fresh column identities, since queries are often picked from the vectors themselves
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+
     def blocks(df: DataFrame, name: str) -> DataFrame:
         size = F.ceil(F.count(F.lit(1)) / tile).cast("int")
         return df.groupBy("kb_id").agg(size.alias(name))
@@ -237,11 +239,17 @@ def vector_topk(
     q = queries.select(
         "query_id", (F.col("kb_id") if scoped else everywhere).alias("kb_id"), "embedding"
     )
-    held = q.limit(resident_queries + 1).toArrow()
+    return _ranked(v, q, k, resident_queries, tile)
+
+
+def _ranked(
+    vectors: DataFrame, queries: DataFrame, k: int, resident_queries: int, tile: int
+) -> DataFrame:
+    held = queries.limit(resident_queries + 1).toArrow()
     if held.num_rows <= resident_queries:
-        matches = _resident_matches(v, held, k)
+        matches = _resident_matches(vectors, held, k)
     else:
-        matches = _tiled_matches(v, q, k, tile)
+        matches = _tiled_matches(vectors, queries, k, tile)
     order: list[Column] = [F.col("distance"), F.col("vec_id")]
     return top_k(matches, ["query_id"], order, k, "rank")
 
@@ -259,43 +267,71 @@ def cosine_distance(a: Column, b: Column) -> Column:
     )
 
 
+def _margins(vectors: pd.Series, planes: int, seed: int) -> np.ndarray:
+    """Signed distances of vectors to random planes through the origin."""
+    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+    return matrix @ np.random.default_rng(seed).normal(size=(matrix.shape[1], planes))
+
+
+def cell_of(planes: int, seed: int) -> Callable[[Column], Column]:
+    """Which of the ``2 ** planes`` cells between random planes a vector lies in."""
+    bits = 1 << np.arange(planes)
+
+    def cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series((_margins(vectors, planes, seed) > 0) @ bits)
+
+    return F.pandas_udf(cell, T.IntegerType())
+
+
+def cells_near(planes: int, seed: int, probes: int) -> Callable[[Column], Column]:
+    """The ``probes`` cells closest to a vector, its own first."""
+    corners = (np.arange(1 << planes)[:, None] >> np.arange(planes)) & 1
+
+    def near(vectors: pd.Series) -> pd.Series:
+        margins = _margins(vectors, planes, seed)
+        cost = np.abs(margins) @ corners.T  # price of flipping a set of sides
+        own = (margins > 0) @ (1 << np.arange(planes))
+        flips = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(flips ^ own[:, None]))
+
+    return F.pandas_udf(near, T.ArrayType(T.IntegerType()))
+
+
+def assign_cells(vectors: DataFrame, planes: int = 4, seed: int = 7) -> DataFrame:
+    """Vectors with their ``cell``; a table partitioned by it is read only where probed."""
+    return vectors.withColumn("cell", cell_of(planes, seed)("embedding"))
+
+
 def vector_topk_ann(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    threshold: float = 1.2,
+    planes: int = 4,
+    probes: int = 4,
     seed: int = 7,
+    resident_queries: int = 4096,
+    tile: int = 8192,
 ) -> DataFrame:
-    """Approximate neighbours: random-projection buckets find candidates, exact re-rank.
+    """Approximate neighbours: exact ranking, but only in the cells nearest to each query.
 
-    Works on unit vectors, where Euclidean and cosine order agree; ``threshold`` is the
-    Euclidean radius looked at. Recall against ``vector_topk`` is reported by ``ann_recall``.
+    ``vectors`` may carry ``cell`` from ``assign_cells`` (same ``planes`` and ``seed``). A
+    vector lies in one cell, so no pair is met twice, and a crowded cell is split into tiles
+    like a crowded kb. Recall against ``vector_topk`` is reported by ``ann_recall``.
     """
+    if "cell" not in vectors.columns:
+        vectors = assign_cells(vectors, planes, seed)
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        squares = F.aggregate(
-            "embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
-        )
-        scaled = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(squares))
-        return df.filter(squares > 0).select(key, "kb_id", array_to_vector(scaled).alias("unit"))
-
-    v, q = unit(vectors, "vec_id"), unit(queries, "query_id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
-    )
-    pairs = lsh.fit(v).approxSimilarityJoin(v, q, threshold, "euclid")
-    near = pairs.filter(F.col("datasetA.kb_id") == F.col("datasetB.kb_id")).select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.vec_id").alias("vec_id"),
-        F.round(F.col("euclid") * F.col("euclid") / 2, DISTANCE_PLACES).alias("distance"),
-    )
-    return top_k(near, ["query_id"], [F.col("distance"), F.col("vec_id")], k, "rank")
+    def place(cell: str) -> Column:
+        return F.concat_ws("|", "kb_id", F.col(cell).cast("string")).alias("kb_id")
+
+    v = vectors.select(place("cell"), "vec_id", "embedding")
+    q = queries.select(
+        "query_id",
+        "kb_id",
+        "embedding",
+        F.explode(cells_near(planes, seed, probes)("embedding")).alias("cell"),
+    ).select("query_id", place("cell"), "embedding")
+    return _ranked(v, q, k, resident_queries, tile)
 
 
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -196,8 +196,8 @@ class Model:
         )
 
     def vector_queries(self) -> DataFrame:
-        """One vector in ten asks for its neighbours."""
-        return self.vectors().filter(F.col("vec_id").endswith("0")).select(
+        """Every vector asks for its neighbours."""
+        return self.vectors().select(
             F.concat(F.lit("q"), F.col("vec_id")).alias("query_id"), "kb_id", "embedding"
         )
 
@@ -335,8 +335,7 @@ VIEWS = {
                's' || (vec_id % 4) as shelf
         from embeddings""",
     "m_vector_queries": """
-        select 'q' || vec_id as query_id, kb_id, embedding from m_vectors
-        where vec_id like '%0'""",
+        select 'q' || vec_id as query_id, kb_id, embedding from m_vectors""",
     "m_run_events": f"""
         select user_id::varchar as run_id, 'kb' || (user_id % 5) as kb_id, event_id as seq,
                {_case('event_id % 6', PHASE_CYCLE)} as phase, event_id % 6 as pos,

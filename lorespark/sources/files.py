@@ -85,6 +85,8 @@ def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples(index=False):
             files, base = pafs.FileSystem.from_uri(posixpath.join(row.root, row.rel_path))
             found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+            if not found:
+                continue
             ignore = row.ignore
             if row.rel_path == "":
                 own = [f for f in found if f.base_name == IGNORE_FILE and f.is_file]

@@ -59,8 +59,12 @@ def page_body(html: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """``text`` and ``title`` beside each page's other columns; pages without text drop out."""
+    """``text`` and ``title`` beside each page's other columns; pages without text drop out.
+
+    The emptiness test is part of the row generator: as a filter it would be pushed down and
+    run the whole rule chain a second time.
+    """
     kept = [c for c in pages.columns if c != "html"]
-    return pages.select(
-        *kept, page_title(F.col("html")).alias("title"), page_body(F.col("html")).alias("text")
-    ).filter(F.length("text") > 0)
+    html = F.col("html")
+    found = F.array(F.struct(page_title(html).alias("title"), page_body(html).alias("text")))
+    return pages.select(*kept, F.inline(F.filter(found, lambda p: F.length(p["text"]) > 0)))
