@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from lorespark.operators.chunking import assign_chunk_ids, symbol_chunk
 from lorespark.operators.embedding import Embedder, embed
 from lorespark.operators.lifecycle import Tables, drop_chunks, get_sources
 from lorespark.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PHASES, SOURCE_TYPES
+from lorespark.session import durable
+from lorespark.sources.dispatch import Reader, read_sources
 
 CHUNK_COLUMNS = [
     "chunk_id",
@@ -176,11 +179,14 @@ def ingest(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     embedder: Embedder | None = None,
+    store: Callable[[DataFrame], DataFrame] = durable,
 ) -> Ingested:
     """Ingest any number of sources whose text the readers delivered as ``contents``.
 
     Unknown knowledge bases and source types are errors. A source named in ``errors`` is
-    marked failed and logged, and does not stop the others.
+    marked failed and logged, and does not stop the others. ``store`` writes the chunks and
+    gives them back, so that vectors, counts and summaries do not read and cut the texts
+    again; pass a function that appends to the chunks table to write them only once.
     """
     reject(sources.join(kbs, "kb_id", "left_anti"), "kb_id", "unknown knowledge base")
     reject(
@@ -190,10 +196,10 @@ def ingest(
     )
     if errors is None:
         errors = sources.sparkSession.createDataFrame([], "source_id string, error string")
-    good = sources.join(errors.select("source_id"), "source_id", "left_anti")
-    chunks = chunk_contents(contents, size, overlap).join(
-        errors.select("source_id"), "source_id", "left_anti"
-    ).select(*CHUNK_COLUMNS)
+    failed = errors.select("source_id")
+    good = sources.join(failed, "source_id", "left_anti")
+    kept = contents.join(failed, "source_id", "left_anti").select(*contents.columns)
+    chunks = store(chunk_contents(kept, size, overlap))
     summaries = source_summaries(good, chunks, now)
     return Ingested(
         sources=mark_sources(sources, chunks, errors, now),
@@ -205,6 +211,17 @@ def ingest(
     )
 
 
+def ingest_sources(
+    kbs: DataFrame,
+    sources: DataFrame,
+    now: Column,
+    readers: Mapping[str, Reader] | None = None,
+    **options: object,
+) -> Ingested:
+    """Read sources of any kind and ingest what was read."""
+    return ingest(kbs, sources, read_sources(sources, readers), now, **options)
+
+
 def append_ingested(tables: Tables, added: Ingested) -> Tables:
     """Tables after an ingest; rows of the same source or page are replaced."""
     out = dict(tables)

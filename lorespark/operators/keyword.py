@@ -49,9 +49,11 @@ def build_postings(pages: DataFrame) -> DataFrame:
 def search_index(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(postings, stats)`` for searching pages that have no stored index.
 
-    One pass over the texts keeps only the query terms and, per page, a row without a term
-    that carries its length; that slim table is stored, so nothing reads the texts again.
+    One pass over the texts keeps only the query terms and, per page, a row that carries its
+    length; that slim table is stored, so nothing reads the texts again. The term of a length
+    row is a blank and the page id: no query term equals it, and a shuffle spreads such rows.
     """
+    marker = F.concat(F.lit(" "), F.col("page_id"))
 
     def counted(words: Column) -> Column:
         return bind(
@@ -65,7 +67,7 @@ def search_index(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataF
                 ),
                 F.array(
                     F.struct(
-                        F.lit(None).cast("string").alias("term"),
+                        marker.alias("term"),
                         F.lit(0).alias("tf"),
                         F.size(w).alias("doc_len"),
                     )
@@ -78,11 +80,11 @@ def search_index(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataF
     slim = (
         rows.select("kb_id", "page_id", "p.*")
         .join(wanted, "term", "left")
-        .filter(F.col("asked") | F.col("term").isNull())
+        .filter(F.col("asked") | (F.col("tf") == 0))
         .drop("asked")
     )
     slim = durable(slim)
-    return slim.filter("term is not null"), slim.filter("term is null").drop("term", "tf")
+    return slim.filter("tf > 0"), slim.filter("tf = 0").drop("term", "tf")
 
 
 def doc_stats(pages: DataFrame) -> DataFrame:

@@ -133,25 +133,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[object, pa.Array, np.ndarray]]:
-    """One ``(kb_id, vec_ids, matrix)`` per knowledge base in an Arrow batch."""
-    kbs = batch.column("kb_id").dictionary_encode()
-    codes = kbs.indices.to_numpy(zero_copy_only=False)
-    ids = batch.column("vec_id").cast(pa.string())
-    matrix = _matrix(batch.column("embedding"))
-    for code, kb in enumerate(kbs.dictionary.to_pylist()):
-        rows = np.flatnonzero(codes == code)
-        yield kb, ids.take(pa.array(rows)), matrix[rows]
+def _groups(column: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
+    """Distinct values of a column with their row numbers, found by one sort."""
+    coded = column.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for code, value in enumerate(coded.dictionary.to_pylist()):
+        yield value, order[ends[code] : ends[code + 1]]
 
 
 def _nearest(queries: pa.Table, k: int) -> dict[object, Nearest]:
     """A ``Nearest`` per knowledge base that is asked about."""
-    out = {}
-    for kb in queries["kb_id"].unique().to_pylist():
-        own = queries.filter(pc.equal(queries["kb_id"], kb)).combine_chunks()
-        ids = np.array(own["query_id"].to_pylist(), dtype=object)
-        out[kb] = Nearest(ids, _matrix(own["embedding"].combine_chunks()), k)
-    return out
+    queries = queries.combine_chunks()
+    if not queries.num_rows:
+        return {}
+    ids = np.array(queries["query_id"].to_pylist(), dtype=object)
+    matrix = _matrix(queries["embedding"].combine_chunks())
+    kbs = queries["kb_id"].combine_chunks()
+    return {kb: Nearest(ids[rows], matrix[rows], k) for kb, rows in _groups(kbs)}
 
 
 def _resident_matches(vectors: DataFrame, queries: pa.Table, k: int) -> DataFrame:
@@ -160,9 +160,13 @@ def _resident_matches(vectors: DataFrame, queries: pa.Table, k: int) -> DataFram
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = _nearest(queries, k)
         for batch in batches:
-            for kb, ids, matrix in _blocks(batch):
+            if not batch.num_rows:
+                continue
+            ids = batch.column("vec_id").cast(pa.string())
+            matrix = _matrix(batch.column("embedding"))
+            for kb, rows in _groups(batch.column("kb_id")):
                 if kb in asked:
-                    asked[kb].add(ids, matrix)
+                    asked[kb].add(ids.take(pa.array(rows)), matrix[rows])
         for nearest in asked.values():
             yield from nearest.result().to_batches()
 

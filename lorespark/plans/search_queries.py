@@ -20,6 +20,7 @@ from lorespark.operators.search import hybrid_search, normalize_scores, semantic
 from lorespark.plans.fixtures import Model
 from lorespark.plans.registry import query, sql_terms, sql_tokens
 from lorespark.plans.vector_queries import hashed_sql
+from lorespark.session import durable
 
 K = 10
 
@@ -135,7 +136,7 @@ def keyword_boolean(m: Model) -> DataFrame:
         "query_id", F.concat_ws(":", "kb_id", "name")
     )
     pages = m.pages()
-    return match_boolean(build_postings(pages), pages, queries)
+    return match_boolean(durable(build_postings(pages)), pages, queries)
 
 
 @query(

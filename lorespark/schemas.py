@@ -33,7 +33,10 @@ INDEX_TITLE = "Index"
 
 STRINGS = T.MapType(T.StringType(), T.StringType())
 
-KBS = "kb_id string, name string, description string, created_at timestamp, updated_at timestamp"
+KBS = (
+    "kb_id string, name string, description string, config map<string,string>,"
+    " created_at timestamp, updated_at timestamp"
+)
 SOURCES = (
     "source_id string, kb_id string, source_type string, uri string,"
     " metadata map<string,string>, ingested_at timestamp, chunk_count int, status string"

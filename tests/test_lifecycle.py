@@ -20,7 +20,7 @@ def now():
 
 
 def kbs(spark, *names):
-    return spark.createDataFrame([(n, f"name {n}", "", T0, T0) for n in names], KBS)
+    return spark.createDataFrame([(n, f"name {n}", "", {}, T0, T0) for n in names], KBS)
 
 
 def sources(spark, *rows):
@@ -77,6 +77,17 @@ def test_ingest_checks(spark):
         ingest.ingest(kbs(spark, "kb"), odd, contents(spark), now())
 
 
+def test_ingest_sources_reads_and_chunks(spark, tmp_path):
+    (tmp_path / "m.py").write_text("import os\n\ndef f():\n    pass\n")
+    (tmp_path / "a.md").write_text("hello")
+    tree = sources(spark, ("t", "kb")).withColumn("uri", F.lit(str(tmp_path)))
+    out = ingest.ingest_sources(kbs(spark, "kb"), tree.withColumn("source_type", F.lit("codebase")), now())
+    rows = out.chunks.orderBy("part", "chunk_index").collect()
+    assert [r.metadata.get("symbol_type") for r in rows] == [None, "module", "function"]
+    assert out.sources.first().chunk_count == 3
+    assert "hello..." in out.pages.first().content
+
+
 def test_refresh_keeps_the_source_and_replaces_its_chunks(spark):
     base = {"kbs": kbs(spark, "kb")}
     tables = ingest.append_ingested(base, ingested(spark, size=1, overlap=0))
