@@ -48,22 +48,23 @@ def export_plan(views: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(kb_id, page_id, path, collides, text)`` of page views.
 
     Where several pages of a kb have the same file name, the first created keeps it and the
-    others get ``--<page id>`` before the extension; a plain name never holds two dashes.
+    others get ``--<page id>`` before the extension; a plain name never holds two dashes. The
+    further parts of a page view too large for one row get ``--part-<n>``.
     ``names`` are the pages the names are decided among, by default the views themselves: an
     incremental export passes all pages, so that names do not depend on what changed.
     """
     everyone = (views if names is None else names).select(
         "kb_id", page_filename(F.col("title")).alias("name"), "created_at", "page_id"
-    ).distinct()
+    )
     keys = ["kb_id", "name"]
     shared = (
         everyone.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            (F.min("page_id") != F.max("page_id")).alias("several"),
             F.min_by("page_id", F.struct("created_at", "page_id")).alias("owner"),
         )
-        .filter(F.col("n") > 1)
-        .drop("n")
+        .filter("several")
+        .drop("several")
     )
     suffixed = F.concat(
         F.regexp_replace("name", r"\.md$", ""),
@@ -75,6 +76,9 @@ def export_plan(views: DataFrame, names: DataFrame | None = None) -> DataFrame:
     name = F.when(collides & (F.col("owner") != F.col("page_id")), suffixed).otherwise(
         F.col("name")
     )
+    if "part" in views.columns:
+        later = F.concat(F.lit("--part-"), (F.col("part") + 1).cast("string"), F.lit(".md"))
+        name = F.when(F.col("part") > 0, F.regexp_replace(name, r"\.md$", later)).otherwise(name)
     return (
         views.withColumn("name", page_filename(F.col("title")))
         .join(shared, keys, "left")

@@ -46,44 +46,43 @@ def build_postings(pages: DataFrame) -> DataFrame:
     return rows.select("kb_id", "page_id", "p.*")
 
 
-def search_index(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def search_index(
+    pages: DataFrame, queries: DataFrame, resident_terms: int = 4096
+) -> tuple[DataFrame, DataFrame]:
     """``(postings, stats)`` for searching pages that have no stored index.
 
     One pass over the texts keeps only the query terms and, per page, a row that carries its
-    length; that slim table is stored, so nothing reads the texts again. The term of a length
-    row is a blank and the page id: no query term equals it, and a shuffle spreads such rows.
+    length; that slim table is stored, so nothing reads the texts again. Up to
+    ``resident_terms`` distinct query terms become part of the expression and other words are
+    dropped inside the row; more are met by a join. The term of a length row is a blank and
+    the page id: no query term equals it, and a shuffle spreads such rows.
     """
+    wanted = query_terms(queries).select("term").distinct()
+    held = [r[0] for r in wanted.limit(resident_terms + 1).collect()]
+    few = len(held) <= resident_terms
     marker = F.concat(F.lit(" "), F.col("page_id"))
 
+    def entry(term: Column, tf: Column, words: Column) -> Column:
+        return F.struct(term.alias("term"), tf.alias("tf"), F.size(words).alias("doc_len"))
+
     def counted(words: Column) -> Column:
-        return bind(
-            words,
-            lambda w: F.concat(
-                F.transform(
-                    F.coalesce(run_lengths(w), F.array().cast("array<struct<item:string,n:int>>")),
-                    lambda r: F.struct(
-                        r["item"].alias("term"), r["n"].alias("tf"), F.size(w).alias("doc_len")
-                    ),
-                ),
-                F.array(
-                    F.struct(
-                        marker.alias("term"),
-                        F.lit(0).alias("tf"),
-                        F.size(w).alias("doc_len"),
-                    )
-                ),
-            ),
+        asked = F.filter(words, lambda w: w.isin(held)) if few else words
+        runs = F.coalesce(run_lengths(asked), F.array().cast("array<struct<item:string,n:int>>"))
+        return F.concat(
+            F.transform(runs, lambda r: entry(r["item"], r["n"], words)),
+            F.array(entry(marker, F.lit(0), words)),
         )
 
-    rows = pages.select("kb_id", "page_id", F.explode(counted(terms(page_text(pages)))).alias("p"))
-    wanted = query_terms(queries).select("term").distinct().withColumn("asked", F.lit(True))
-    slim = (
-        rows.select("kb_id", "page_id", "p.*")
-        .join(wanted, "term", "left")
-        .filter(F.col("asked") | (F.col("tf") == 0))
-        .drop("asked")
+    rows = pages.select(
+        "kb_id", "page_id", F.inline(bind(terms(page_text(pages)), counted))
     )
-    slim = durable(slim)
+    if not few:
+        rows = (
+            rows.join(wanted.withColumn("asked", F.lit(True)), "term", "left")
+            .filter(F.col("asked") | (F.col("tf") == 0))
+            .select("kb_id", "page_id", "term", "tf", "doc_len")
+        )
+    slim = durable(rows)
     return slim.filter("tf > 0"), slim.filter("tf = 0").drop("term", "tf")
 
 

@@ -174,20 +174,21 @@ def _resident_matches(vectors: DataFrame, queries: pa.Table, k: int) -> DataFram
 
 
 def _tiled_matches(vectors: DataFrame, queries: DataFrame, k: int, tile: int) -> DataFrame:
-    """Many queries: tiles of about ``tile`` vectors by ``tile`` queries, one group each.
+    """Many queries: tiles of about ``tile`` vectors by four times as many queries.
 
     A large knowledge base becomes many tiles, so no task holds all of it; each tile returns
-    only its ``k`` best per query.
+    only its ``k`` best per query. Tiles are wider in queries, because each block of queries
+    costs one more copy of the vectors in the shuffle.
     """
 
     # fresh column identities, since queries are often picked from the vectors themselves
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.count(F.lit(1)) / tile).cast("int")
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        size = F.ceil(F.count(F.lit(1)) / rows).cast("int")
         return df.groupBy("kb_id").agg(size.alias(name))
 
-    grid = blocks(vectors, "v_blocks").join(blocks(queries, "q_blocks"), "kb_id")
+    grid = blocks(vectors, tile, "v_blocks").join(blocks(queries, 4 * tile, "q_blocks"), "kb_id")
 
     def lay(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         placed = df.join(grid, "kb_id")

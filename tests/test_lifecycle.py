@@ -214,6 +214,16 @@ def test_export_writes_files_and_keeps_colliding_titles_apart(spark, tmp_path):
     assert "tags:\n  []\n" in files["other.md"] and "sources:\n  []\n" in files["other.md"]
 
 
+def test_parts_of_a_large_view_get_files_of_their_own(spark):
+    pages = views(spark, "Hub", "Small").drop("part", "source_ids", "inbound", "outbound")
+    refs = spark.range(300).select(F.lit("p0").alias("page_id"), F.col("id").cast("string").alias("source_id"))
+    view = wiki.page_view(pages, spark.createDataFrame([], LINKS), refs, part_rows=100)
+    rows = {r.path: r.text for r in export.export_plan(view).collect()}
+    assert sorted(rows) == ["kb/hub--part-2.md", "kb/hub--part-3.md", "kb/hub.md", "kb/small.md"]
+    listed = [x for t in rows.values() for x in t.split("sources:\n")[1].split("---")[0].split("\n") if x.startswith("  - ")]
+    assert sorted(listed) == sorted(f"  - {i}" for i in range(300))
+
+
 def test_incremental_export(spark):
     v = views(spark, "A", "B", "C")
     since = F.lit("2024-01-02 00:00:00").cast("timestamp")

@@ -13,6 +13,7 @@ from lorespark.operators.keyword import (
     match_boolean,
     match_pages,
     refresh_postings,
+    search_index,
 )
 from lorespark.operators.search import (
     hybrid_search,
@@ -201,6 +202,14 @@ def test_given_index_and_fresh_index_agree(spark):
     assert sorted(given_index.collect()) == sorted(keyword_search(p, q, 5).collect())
 
 
+def test_terms_met_by_a_join_or_inside_the_row_agree(spark):
+    p, q = pages(spark), asked(spark, "python", "rust guide")
+    few, many = search_index(p, q), search_index(p, q, resident_terms=1)
+    for a, b in zip(few, many):
+        assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
+    assert few[1].count() == 4 and few[0].filter("term = 'python'").count() == 3
+
+
 def test_refresh_follows_updates_and_deletes(spark):
     p = pages(spark)
     changed = p.filter("page_id = 'p2'").withColumn("content", F.lit("now about java"))
