@@ -42,6 +42,7 @@ EXCLUDED_DIRS = [
 ]
 IGNORE_FILE = ".gitignore"
 BATCH_BYTES = 32 << 20
+BATCH_ENTRIES = 10_000
 
 
 def kept_path(rel_path: Column, ignore: Column | None) -> Column:
@@ -85,8 +86,6 @@ def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples(index=False):
             files, base = pafs.FileSystem.from_uri(posixpath.join(row.root, row.rel_path))
             found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-            if not found:
-                continue
             ignore = row.ignore
             if row.rel_path == "":
                 own = [f for f in found if f.base_name == IGNORE_FILE and f.is_file]
@@ -94,15 +93,17 @@ def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     with files.open_input_stream(own[0].path) as stream:
                         text = stream.read().decode("utf-8", "replace")
                     ignore = any_glob(ignore_patterns(text))
-            yield pd.DataFrame(
-                {
-                    "source_id": row.source_id,
-                    "root": row.root,
-                    "rel_path": [posixpath.join(row.rel_path, f.base_name) for f in found],
-                    "is_dir": [f.type == pafs.FileType.Directory for f in found],
-                    "ignore": ignore,
-                }
-            )
+            for at in range(0, len(found), BATCH_ENTRIES):
+                some = found[at : at + BATCH_ENTRIES]
+                yield pd.DataFrame(
+                    {
+                        "source_id": row.source_id,
+                        "root": row.root,
+                        "rel_path": [posixpath.join(row.rel_path, f.base_name) for f in some],
+                        "is_dir": [f.type == pafs.FileType.Directory for f in some],
+                        "ignore": ignore,
+                    }
+                )
 
 
 LISTING = "source_id string, root string, rel_path string, is_dir boolean, ignore string"

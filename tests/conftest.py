@@ -12,7 +12,8 @@ from lorespark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "lorespark-tests", "4g")
+    session = local_session("8", "lorespark-tests", "6g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from compare import plan
 
 import __spark_entry__ as entry
 from lorespark.operators.embedding import embed
@@ -15,20 +15,6 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-STREAMS = {"ingest_stream", "run_stream"}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
-def test_no_row_python_and_no_pair_joins(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    for node in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in text
-
-
 @pytest.mark.parametrize("name", ["token_chunks", "symbol_chunks", "hash_embeddings", "postings"])
 def test_text_work_stays_in_the_jvm_without_shuffle(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest data set."""
+"""Every registered query against its SQL, on the smallest data set, and its plan."""
 
 import os
 
