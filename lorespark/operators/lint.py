@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.operators.wiki import (
-    PART_ROWS,
+    INDEX_LINES,
     build_index,
     extract_wikilinks,
     orphan_pages,
@@ -97,7 +97,7 @@ def lint_coverage_gaps(pages: DataFrame, page_sources: DataFrame, sources: DataF
     return _issues(bare, "coverage_gap", message, False, page=None, source="source_id")
 
 
-def lint_index_drift(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def lint_index_drift(pages: DataFrame, part_rows: int = INDEX_LINES) -> DataFrame:
     """One issue per kb whose stored index is absent or differs from the generated one."""
     stored = stored_indexes(pages).select(
         "kb_id",
@@ -205,7 +205,8 @@ def lint_fix(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repair what can be repaired: ``(pages, page_sources, fixed issues)``.
 
-    Issues and repaired pages are stored, since each is read several times. Missing pages first, then stale references, then the index over the repaired pages. Only
+    Issues and repaired pages are stored, since each is read several times. Missing pages come
+    first, then stale references, then the index over the repaired pages. Only
     kbs with an index issue, or whose pages the repair itself changed, get a new index.
     """
     if issues is None:

@@ -9,8 +9,10 @@ from lorespark.functions.frames import bounded_parts, earliest, numbered, reject
 from lorespark.functions.text import wikilinks
 from lorespark.schemas import INDEX_TITLE, PAGE_TYPES
 
-# Neighbours or index lines that one output row may hold.
-PART_ROWS = 10_000
+# Neighbours that one row of a page view may hold, and lines that one index page may hold:
+# a few megabytes and some tens of megabytes of text.
+PART_ROWS = 100_000
+INDEX_LINES = 500_000
 
 
 def add_pages(
@@ -211,7 +213,7 @@ def index_title(part: Column) -> Column:
     return F.when(part == 0, F.lit(INDEX_TITLE)).otherwise(more)
 
 
-def build_index(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def build_index(pages: DataFrame, part_rows: int = INDEX_LINES) -> DataFrame:
     """``(kb_id, part, page_id, title, content, is_new)``: the index page of each kb.
 
     Sections follow the order of page types, titles are sorted. An index that exists keeps
@@ -273,7 +275,7 @@ def build_index(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
-def write_index(pages: DataFrame, now: Column, part_rows: int = PART_ROWS) -> DataFrame:
+def write_index(pages: DataFrame, now: Column, part_rows: int = INDEX_LINES) -> DataFrame:
     """The pages table with every index page brought up to date."""
     index = build_index(pages, part_rows)
     fresh = index.filter("is_new").select(

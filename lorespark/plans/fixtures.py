@@ -116,7 +116,12 @@ class Model:
         number = F.substring("kb_id", 4, 9).cast("int")
         seen = pages.filter((number % 2 == 0) | (F.col("page_id").cast("long") % 50 != 0))
         index = build_index(seen.filter(number % 7 != 3)).select(
-            F.concat(F.lit("index-"), "kb_id").alias("page_id"),
+            F.concat(
+                F.lit("index-"),
+                "kb_id",
+                F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part").cast("string")))
+                .otherwise(""),
+            ).alias("page_id"),
             "kb_id",
             "title",
             "content",
