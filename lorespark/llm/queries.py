@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import mixing
+from lorespark.llm import mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op3_mix_sources", mixing.SQL)
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, folder, "documents"))
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash(table(spark, folder, "documents"))
