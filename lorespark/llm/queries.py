@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import mixing, simhash
+from lorespark.llm import decontamination, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash(table(spark, folder, "documents"))
+
+
+@query("op8_decontaminate", decontamination.SQL)
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
