@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import decontamination, mixing, simhash
+from lorespark.llm import decontamination, mixing, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,13 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontaminate", decontamination.SQL)
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_counts(table(spark, folder, "documents"))
+
+
+@query("op7_pack_tokens")
+def op7_pack_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
