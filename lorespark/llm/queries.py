@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import decontamination, mixing, packing, simhash, token_files
+from lorespark.llm import decontamination, language, mixing, packing, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,18 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pack_tokens")
 def op7_pack_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_query(table(spark, folder, "documents"))
