@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import decontamination, language, mixing, packing, quality, simhash, token_files, toxicity
+from lorespark.llm import (
+    decontamination, embedding_dups, language, mixing, packing, quality, simhash, token_files, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +66,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language")
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_query(table(spark, folder, "documents"))
+
+
+@query("op1_embedding_dups")
+def op1_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dups.embedding_links(table(spark, folder, "embeddings"))
