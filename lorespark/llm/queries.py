@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import (
-    decontamination, embedding_dups, language, mixing, packing, quality, simhash, token_files, toxicity,
+    decontamination, embedding_dups, language, mixing, packing, quality, repeats, simhash, token_files,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,8 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_embedding_dups")
 def op1_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dups.embedding_links(table(spark, folder, "embeddings"))
+
+
+@query("op10_remove_repeats")
+def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats_query(table(spark, folder, "documents"))
