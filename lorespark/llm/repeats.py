@@ -74,17 +74,26 @@ def parts(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def stretches(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``start, strings, anchor, content``: runs of strings whose anchor is the same gram of the text.
+    """``start, strings, anchor, content, sides``: runs of strings whose anchor is the same gram of the text.
 
     Of equal least hashes the first is the anchor, so a run ends where that gram is left behind.
+    A string goes on for half its other bytes to the left or to the right of its anchor; ``sides``
+    holds two short hashes of the anchor with so many bytes on either side.
     """
+    gram = min(GRAM, length)
+    width, half = length - gram + 1, (length - gram + 1) // 2
     for offset, part in parts(data, length):
-        grams = Hashes(part, 0).all(min(GRAM, length))
-        low = sliding_min(grams, length - min(GRAM, length) + 1)
+        grams = Hashes(part, 0).all(gram)
+        low = sliding_min(grams, width)
         ends = np.flatnonzero(np.append((low[1:] != low[:-1]) | (grams[: len(low) - 1] == low[:-1]), True)) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        content = Hashes(part, 1).of(starts, ends + length - 1)
-        yield starts + offset, ends - starts, low[starts].view(np.int64), content.view(np.int64)
+        starts, until = np.concatenate([[0], ends[:-1]]), ends + length - 1
+        at = starts + np.lib.stride_tricks.sliding_window_view(grams, width)[starts].argmin(1)
+        hashes = Hashes(part, 1)
+        left = hashes.of(np.maximum(at - half, starts), at + gram)
+        right = hashes.of(at, np.minimum(at + gram + half, until))
+        sides = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
+        found = low[starts], hashes.of(starts, until), sides
+        yield starts + offset, ends - starts, *(x.view(np.int64) for x in found)
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -118,7 +127,7 @@ def _stretch_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
         for doc, mark, text in zip(batch["doc"], batch["mark"], batch["text"])
         for found in stretches(np.frombuffer(as_bytes(text), np.uint8), length)
     )
-    yield from _joined(rows, ["doc", "mark", "start", "strings", "anchor", "content"])
+    yield from _joined(rows, ["doc", "mark", "start", "strings", "anchor", "content", "sides"])
 
 
 def _pieces(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -183,35 +192,40 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Of an anchor that stands once, nothing is kept after the first exchange. Equal stretches after
     the first go as wholes, so frequent passages and copies add no strings to the second exchange;
-    only first stretches whose anchor has several contents are cut into strings.
+    only first stretches that share a side of the anchor with another content are cut into strings.
     """
     key = ["doc", "mark"]
     table = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    place = F.struct(*key, "start")
+    place, rows = F.struct(*key, "start"), F.count(F.lit(1))
+    content = Window.partitionBy("anchor", "content", "strings")
     met = durable(
         table.mapInPandas(
             lambda batches: _stretch_rows(batches, length),
-            "doc long, mark long, start long, strings long, anchor long, content long",
+            "doc long, mark long, start long, strings long, anchor long, content long, sides long",
         )
         .repartition("anchor")
-        .withColumn("first", F.min(place).over(Window.partitionBy("anchor", "content", "strings")))
-        .withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("anchor")) == 1)
-        .filter("not alone")
-        .select(*key, "start", "strings", "anchor", (place != F.col("first")).alias("again"))
+        .withColumn("alone", rows.over(Window.partitionBy("anchor")) == 1).filter("not alone")
+        .withColumn("first", F.min(place).over(content)).withColumn("equal", rows.over(content))
+        .withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").cast("int"))
+        .withColumn("lefts", rows.over(Window.partitionBy("anchor", "left")))
+        .withColumn("rights", rows.over(Window.partitionBy("anchor", "right")))
+        .withColumn("again", place != F.col("first"))
+        .filter("again or lefts > equal or rights > equal")
+        .select(*key, "start", "strings", "again")
     )
-    several = met.filter("not again").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     places = F.collect_list(F.struct("start", "strings")).alias("places")
-    unsettled = met.filter("not again").join(several, "anchor").groupBy(*key).agg(places)
-    strings = durable(
+    unsettled = met.filter("not again").groupBy(*key).agg(places)
+    later = (
         table.join(unsettled, key).select(*key, "text", "places").mapInPandas(
             lambda batches: _string_rows(batches, length), "doc long, mark long, start long, one long, two long"
         )
+        .repartition("one")
+        .withColumn("first", F.min(place).over(Window.partitionBy("one", "two")))
+        .filter(place != F.col("first"))
     )
-    first = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = strings.join(first, ["one", "two"]).filter(place != F.col("first"))
     gone = (
         met.filter("again").select(*key, "start", "strings")
         .unionByName(later.select(*key, "start", F.lit(1).cast("long").alias("strings")))
