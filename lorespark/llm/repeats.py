@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         .repartition("anchor")
         .withColumn("alone", rows.over(Window.partitionBy("anchor")) == 1).filter("not alone")
         .withColumn("first", F.min(place).over(content)).withColumn("equal", rows.over(content))
-        .withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").cast("int"))
+        .withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)))
         .withColumn("lefts", rows.over(Window.partitionBy("anchor", "left")))
         .withColumn("rights", rows.over(Window.partitionBy("anchor", "right")))
         .withColumn("again", place != F.col("first"))
