@@ -127,7 +127,12 @@ def _stretch_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
         for doc, mark, text in zip(batch["doc"], batch["mark"], batch["text"])
         for found in stretches(np.frombuffer(as_bytes(text), np.uint8), length)
     )
-    yield from _joined(rows, ["doc", "mark", "start", "strings", "anchor", "content", "sides"])
+    for frame in _joined(rows, ["doc", "mark", "start", "strings", "anchor", "content", "sides"]):
+        # Of equal stretches met here all but the first surely go: they are dealt out anywhere.
+        frame = frame.sort_values(["anchor", "content", "doc", "mark", "start"], ignore_index=True)
+        repeated = frame.duplicated(["anchor", "content", "strings"]).to_numpy()
+        spread = frame["content"].to_numpy() + 31 * frame["doc"].to_numpy() + frame["start"].to_numpy()
+        yield frame.assign(repeated=repeated, anchor=np.where(repeated, spread, frame["anchor"].to_numpy()))
 
 
 def _pieces(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -191,7 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     nothing. Other columns are ignored.
 
     Of an anchor that stands once, nothing is kept after the first exchange. Equal stretches after
-    the first go as wholes, so frequent passages and copies add no strings to the second exchange;
+    the first go as wholes, those within one batch before the exchange, so frequent passages and copies add no strings to the second exchange;
     only first stretches that share a side of the anchor with another content are cut into strings.
     """
     key = ["doc", "mark"]
@@ -204,15 +209,16 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     met = durable(
         table.mapInPandas(
             lambda batches: _stretch_rows(batches, length),
-            "doc long, mark long, start long, strings long, anchor long, content long, sides long",
+            "doc long, mark long, start long, strings long, anchor long, content long, sides long, repeated boolean",
         )
         .repartition("anchor")
-        .withColumn("alone", rows.over(Window.partitionBy("anchor")) == 1).filter("not alone")
+        .withColumn("alone", rows.over(Window.partitionBy("anchor")) == 1)
+        .filter("repeated or not alone")
         .withColumn("first", F.min(place).over(content)).withColumn("equal", rows.over(content))
         .withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)))
         .withColumn("lefts", rows.over(Window.partitionBy("anchor", "left")))
         .withColumn("rights", rows.over(Window.partitionBy("anchor", "right")))
-        .withColumn("again", place != F.col("first"))
+        .withColumn("again", F.col("repeated") | (place != F.col("first")))
         .filter("again or lefts > equal or rights > equal")
         .select(*key, "start", "strings", "again")
     )
