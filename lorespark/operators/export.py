@@ -44,6 +44,14 @@ def export_since(pages: DataFrame, since: Column | None = None) -> DataFrame:
     return pages if since is None else pages.filter(F.col("updated_at") >= since)
 
 
+def path_part(name: Column) -> Column:
+    """A string as one step of a path; a hash keeps altered ones apart."""
+    plain = F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "-")
+    return F.when(plain == name, name).otherwise(
+        F.concat_ws("--", plain, F.substring(F.sha2(name, 256), 1, 12))
+    )
+
+
 def export_plan(views: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(kb_id, page_id, path, collides, text)`` of page views.
 
@@ -69,7 +77,7 @@ def export_plan(views: DataFrame, names: DataFrame | None = None) -> DataFrame:
     suffixed = F.concat(
         F.regexp_replace("name", r"\.md$", ""),
         F.lit("--"),
-        F.regexp_replace("page_id", r"[^\p{L}\p{N}_-]", "-"),
+        path_part(F.col("page_id")),
         F.lit(".md"),
     )
     collides = F.col("owner").isNotNull()
@@ -85,7 +93,7 @@ def export_plan(views: DataFrame, names: DataFrame | None = None) -> DataFrame:
         .select(
             "kb_id",
             "page_id",
-            F.concat_ws("/", "kb_id", name).alias("path"),
+            F.concat_ws("/", path_part(F.col("kb_id")), name).alias("path"),
             collides.alias("collides"),
             F.concat(frontmatter(), F.lit("\n"), "content", F.lit("\n")).alias("text"),
         )

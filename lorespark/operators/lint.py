@@ -145,7 +145,10 @@ def lint_report(
     checked_at: Column,
     kbs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per kb: issues by type, number of pages and of outbound links, time."""
+    """One row per kb: issues by type, number of pages and of outbound links, time.
+
+    Without ``kbs``, every kb with a page or a source is reported.
+    """
     counts = pages.groupBy("kb_id").agg(F.count(F.lit(1)).alias("page_count"))
     out = (
         links.join(pages.select(F.col("page_id").alias("from_page_id"), "kb_id"), "from_page_id")
@@ -157,7 +160,9 @@ def lint_report(
         *[F.count_if(F.col("type") == t).alias(f"{t}s") for t in LINT_TYPES],
         F.count_if("auto_fixable").alias("fixable"),
     )
-    base = counts.select("kb_id") if kbs is None else kbs.select("kb_id")
+    if kbs is None:
+        kbs = counts.select("kb_id").union(sources.select("kb_id")).distinct()
+    base = kbs.select("kb_id")
     report = base.join(counts, "kb_id", "left").join(out, "kb_id", "left").join(found, "kb_id", "left")
     return report.na.fill(0).withColumn("checked_at", checked_at)
 

@@ -276,8 +276,9 @@ def build_index(pages: DataFrame, part_rows: int = INDEX_LINES) -> DataFrame:
 
 
 def write_index(pages: DataFrame, now: Column, part_rows: int = INDEX_LINES) -> DataFrame:
-    """The pages table with every index page brought up to date."""
+    """The pages table with every index page brought up to date; surplus index parts go."""
     index = build_index(pages, part_rows)
+    surplus = stored_indexes(pages).join(index, ["kb_id", "title"], "left_anti").select("page_id")
     fresh = index.filter("is_new").select(
         "page_id",
         "kb_id",
@@ -292,7 +293,8 @@ def write_index(pages: DataFrame, now: Column, part_rows: int = INDEX_LINES) ->
         "page_id", F.col("content").alias("_content"), F.lit(True).alias("_hit")
     )
     kept = (
-        pages.join(patch, "page_id", "left")
+        pages.join(surplus, "page_id", "left_anti")
+        .join(patch, "page_id", "left")
         .withColumn("content", F.coalesce("_content", "content"))
         .withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at")))
         .select(*pages.columns)

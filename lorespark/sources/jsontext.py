@@ -14,8 +14,10 @@ def _indented(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-    except ValueError:
+        indented = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        indented.encode("utf-8")  # an escaped lone surrogate has no UTF-8 form
+        return indented
+    except (ValueError, RecursionError):
         return text
 
 

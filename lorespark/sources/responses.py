@@ -11,9 +11,9 @@ from lorespark.sources.jsontext import indent_json
 def response_documents(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(documents, rejects)`` of ``responses(url, status_code, content_type, body, ...)``.
 
-    Error statuses are rejected, JSON bodies re-indented, empty bodies dropped.
+    Error statuses and missing ones are rejected, JSON bodies re-indented, empty bodies dropped.
     """
-    failed = F.col("status_code") >= 400
+    failed = F.coalesce(F.col("status_code") >= 400, F.lit(True))
     is_json = F.coalesce(F.col("content_type").contains("json"), F.lit(False))
     kept = [c for c in responses.columns if c != "body"]
     good = responses.filter(~failed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lorespark.operators.ingest import chunk_contents, vectors_of
@@ -48,7 +49,17 @@ def ingest_stream(
 
 
 def latest_chunks(spark: SparkSession, chunks_path: str) -> DataFrame:
-    """Stored chunks; a source that arrived again shows only its latest batch."""
-    stored = spark.read.option("basePath", chunks_path).parquet(chunks_path)
-    newest = stored.groupBy("source_id").agg({"batch": "max"}).withColumnRenamed("max(batch)", "batch")
-    return stored.join(newest, ["source_id", "batch"], "left_semi").drop("batch")
+    """Stored chunks; a part of a source that arrived again shows only its latest batch.
+
+    Parts of one source may arrive in different batches. Contents whose metadata carry a number
+    ``ingest_version`` also retire every part of the source with a smaller one (none counts as 0).
+    """
+    version = F.try_element_at("metadata", F.lit("ingest_version")).try_cast("long")
+    stored = (
+        spark.read.option("basePath", chunks_path).parquet(chunks_path)
+        .withColumn("version", F.coalesce(version, F.lit(0)))
+    )
+    current = stored.groupBy("source_id").agg(F.max("version").alias("version"))
+    stored = stored.join(current, ["source_id", "version"], "left_semi")
+    newest = stored.groupBy("source_id", "part").agg(F.max("batch").alias("batch"))
+    return stored.join(newest, ["source_id", "part", "batch"], "left_semi").drop("batch", "version")

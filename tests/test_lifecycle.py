@@ -255,3 +255,21 @@ def test_durable_keeps_schema_and_rows(spark):
     df = ingested(spark).chunks
     stored = durable(df)
     assert stored.schema.simpleString() == df.schema.simpleString() and stored.count() == 1
+
+
+def test_stream_keeps_parts_of_several_batches(spark, tmp_path):
+    arrive, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    rows = [("s1", 0, "a b", {}), ("s1", 1, "c d", {}), ("s1", 1, "e f", {}), ("s2", 0, "x", {}), ("s2", 1, "y", {})]
+    rows.append(("s2", 0, "z", {"ingest_version": "2"}))
+    for source, part, text, metadata in rows:
+        batch = spark.createDataFrame([(source, "kb", part, text, metadata)], CONTENTS)
+        batch.write.mode("append").parquet(arrive)
+        ingest_stream(stream_contents(spark, arrive), out, log, size=5, overlap=0).awaitTermination()
+    got = latest_chunks(spark, out).select("source_id", "part", "content").collect()
+    assert {(r.source_id, r.part, r.content) for r in got} == {("s1", 0, "a b"), ("s1", 1, "e f"), ("s2", 0, "z")}
+
+
+def test_path_part_stays_in_its_folder(spark):
+    names = spark.createDataFrame([("kb_1",), ("../x",), ("..-x",)], "name string")
+    got = [r[0] for r in names.select(export.path_part(F.col("name"))).collect()]
+    assert got[0] == "kb_1" and len(set(got)) == 3 and not any("/" in g or "." in g for g in got)

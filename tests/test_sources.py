@@ -211,3 +211,15 @@ def test_user_metadata_wins(spark):
         ).alias("m")
     ).first()
     assert row.m == {"a": "1", "b": "user"}
+
+
+def test_json_that_cannot_be_indented_stays(spark):
+    texts = ['{"a":"\\ud800"}', "[" * 100_000, '{"a":1}']
+    df = normalize_json(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert [r.text for r in df.collect()] == [*texts[:2], '{\n  "a": 1\n}']
+
+
+def test_response_without_status_is_rejected(spark):
+    rows = spark.createDataFrame([("u", None, "text/plain", "b")], "url string, status_code int, content_type string, body string")
+    documents, rejects = response_documents(rows)
+    assert documents.count() == 0 and rejects.count() == 1
