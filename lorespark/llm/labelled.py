@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SHARES = 16
+
 
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
@@ -14,15 +16,20 @@ def remainder(doc_id: Column, folds: int) -> Column:
 def sample_texts(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int) -> list[tuple[str, object]]:
     """Up to ``per_class`` texts of each class of ``labels(doc_id, label)``, as ``(text, label)``.
 
-    The rows with the least hash of their id are taken, so a rerun takes the same. Null labels and
+    The rows with the least hash of their id are taken, so a rerun takes the same. They are found
+    in shares of each class first, so that one task ranks ``SHARES * per_class`` rows at most,
+    however many partitions the tables have. Null labels and
     texts are left out. Of a text longer than ``most_chars``, that many characters are taken in
     eight stretches spread over all of it; this bounds what the driver holds and touches training
     only. The sample's size does not grow with the tables.
     """
-    rank = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+    order = (F.xxhash64("_id"), "_id")
+    share = F.pmod(F.xxhash64("_id"), F.lit(SHARES))
+    in_share, rank = Window.partitionBy("_label", share).orderBy(*order), Window.partitionBy("_label").orderBy(*order)
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
         .filter("_label is not null and _id is not null")
+        .withColumn("_rank", F.row_number().over(in_share)).filter(F.col("_rank") <= per_class)
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= per_class)
         .select("_id", "_label")
