@@ -62,6 +62,18 @@ def test_repeated_rows_and_no_rows(spark):
     assert repeats_query(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_repeated_rows_of_one_batch(spark):
+    text = "some words " * 5 + "that stand once in the text and are long enough to be looked at as a whole string of bytes"
+    other = "".join(random.Random(7).choices("abcdef ", k=300))
+    rows = [(1, text, 1)] * 2 + [(None, other, 1)] * 3 + [(4, text + other, 1)] * 2
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(7).coalesce(parts)
+        got = sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in repeats_query(df).collect())
+        assert got == [(1, len(text), 0)] * 2 + [(4, len(text + other), len(text))] * 2 + [(9, 300, 300)] * 3
+    alone = spark.createDataFrame([(None, other, 1)] * 3, SCHEMA).coalesce(1)
+    assert [r.n_removed for r in repeats_query(alone).collect()] == [0, 0, 0]
+
+
 def test_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
