@@ -129,15 +129,22 @@ def simhash(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each group: that of its smallest ``doc_id``.
 
+    Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at
+    least ``similarity``, or if both have no words. Such pairs differ in ten of 64 fingerprint
+    bits and often in more, too many to index, so the sets themselves are joined, without loss.
     Among rows of that id the one with the least digest of its columns stays, so of repeated rows
     exactly one. Null ids come last. Only rows that go are looked up in the documents.
     """
+    from lorespark.llm.shingle_sets import set_rows, similar_groups  # it imports this module
+
     digest = F.xxhash64(*docs.columns)
-    rows = durable(docs.select("doc_id", digest.alias("digest"), fingerprints("text").alias("print")))
-    grouped = simhash_groups(rows)
+    rows = durable(set_rows(docs.select("doc_id", digest.alias("digest"), "text"), shingle, similarity))
+    found = similar_groups(docs, rows, shingle, similarity)
+    rows = rows.select("doc_id", "digest", "node")
+    grouped = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
     kept = grouped.groupBy("root").agg(F.min(order).alias("kept"))
     kept = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.digest").alias("_digest"))

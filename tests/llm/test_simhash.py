@@ -61,3 +61,52 @@ def test_links_of_crowded_keys(spark):
     for hot in (2, 16, 1000):
         got = [tuple(r) for r in simhash.links(prints, hot).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute_set(text):
+    low = (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def brute_kept(rows, least=0.8):
+    sets = [(i, brute_set(t)) for i, t in rows]
+    same = lambda p, q: len(p & q) >= least * len(p | q) - 1e-9
+    group = groups([i for i, _ in rows], [(i, j) for i, p in sets for j, q in sets if i < j and same(p, q)])
+    return sorted(set(group.values()))
+
+
+def test_near_copies_against_brute_force(spark):
+    import random
+
+    from lorespark.llm import shingle_sets
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    line = [rng.choice(words) for _ in range(30)]
+    rows = []
+    for base in range(40):
+        text = line + [rng.choice(words) for _ in range(rng.randrange(0, 120))]
+        for copy in range(3 if base else 90):
+            copied = list(text)
+            for _ in range(rng.randrange(0, 4)):
+                copied[rng.randrange(len(copied))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copied)))
+    rows += [(900, "a b c"), (901, "A  b c"), (902, "a b"), (903, None), (904, " ")]
+    # Four of five shingles in common: just the bound.
+    rows += [(910, "p q r s t u v w"), (911, "p q r s t u v w x"), (912, "p q r s t u v x y z")]
+    want = brute_kept(rows)
+    assert len(want) < len({fingerprint for _, fingerprint, _ in brute(rows)}) and 911 not in want and 912 in want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
+    # Few sets a shingle, so that they are compared in turns.
+    nodes = shingle_sets.durable(shingle_sets.set_rows(docs, 5, 0.8))
+    found = shingle_sets.similar_groups(docs, nodes, 5, 0.8, hot=3)
+    kept = nodes.join(found, "node", "left").selectExpr("doc_id", "coalesce(root, node) root").groupBy("root").agg({"doc_id": "min"})
+    assert sorted(r[1] for r in kept.collect()) == want
+
+
+def test_near_copies_of_the_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
