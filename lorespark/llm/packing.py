@@ -8,14 +8,18 @@ row spans two tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm.tokens import END, ID_TYPE, VOCABULARY, Encoder, filesystem, whole_file
+from lorespark.session import durable, scratch_folder
 
 ROW_TOKENS = 2048
 BLOCK_TOKENS = 1 << 21
@@ -24,6 +28,7 @@ PACKED = (
     "part int, block int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>,"
     " doc_ids array<{kind}>, pieces array<int>"
 )
+INDEX = ["part", "block", "row", "n_tokens", "doc_ids", "pieces"]
 
 
 class FreeSpace:
@@ -141,23 +146,71 @@ def write_matrices(packed: DataFrame, folder: str, row_tokens: int = ROW_TOKENS)
 
     For each task: ``ids-*.bin`` and ``positions-*.bin`` are matrices of ``row_tokens`` 16-bit
     columns, ``segments-*.bin`` holds the cumulative lengths of all rows as 32-bit integers, one
-    0 at the start of each row. Files appear whole and a repeated task replaces its own.
+    0 at the start of each row, and ``index-*.bin`` is an Arrow stream of each row's number, length,
+    documents and pieces. Files appear whole and a repeated task replaces its own.
     """
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name, attempt, rows = f"{task.partitionId():06d}.bin", task.taskAttemptId(), 0
+        name, attempt, rows, stream = f"{task.partitionId():06d}.bin", task.taskAttemptId(), 0, None
         with (
             whole_file(f"{folder}/ids-{name}", attempt) as ids,
             whole_file(f"{folder}/positions-{name}", attempt) as positions,
             whole_file(f"{folder}/segments-{name}", attempt) as segments,
+            whole_file(f"{folder}/index-{name}", attempt) as index,
         ):
-            for frame in frames:
-                for a, b, c in zip(frame["ids"], frame["positions"], frame["cu_seqlens"]):
-                    ids.write(a), positions.write(b), segments.write(np.array(c, "<i4").tobytes())
-                rows += len(frame)
-        yield pd.DataFrame({"file": [name], "rows": [rows]})
+            for batch in batches:
+                for a, b in zip(batch.column("ids"), batch.column("positions")):
+                    ids.write(a.as_buffer()), positions.write(b.as_buffer())
+                segments.write(batch.column("cu_seqlens").flatten().to_numpy().astype("<i4").tobytes())
+                places = batch.select(INDEX)
+                stream = stream or pa.ipc.new_stream(index, places.schema)
+                stream.write_batch(places)
+                rows += len(batch)
+            if stream:
+                stream.close()
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": pa.array([rows], pa.int64())})
 
     store, path = filesystem(folder)
     store.create_dir(path)
-    return packed.select("ids", "positions", "cu_seqlens").mapInPandas(write, "file string, rows long")
+    return packed.select(*INDEX, "ids", "positions", "cu_seqlens").mapInArrow(write, "file string, rows long")
+
+
+def read_matrices(spark: SparkSession, folder: str, kind: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
+    """The packed rows in the files of ``write_matrices``; ``kind`` is the type of the document ids."""
+    width = row_tokens * np.dtype(ID_TYPE).itemsize
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            top, name = path.rsplit("/", 1)
+            with ExitStack() as files:
+                index, ids, positions, segments = (
+                    files.enter_context(filesystem(top)[0].open_input_stream(
+                        f"{filesystem(top)[1]}/{name.replace('index', part, 1)}"))
+                    for part in ("index", "ids", "positions", "segments")
+                )
+                for places in pa.ipc.open_stream(index):
+                    n = len(places)
+                    edges = pa.array(np.arange(n + 1, dtype="i4") * width)
+                    sizes = [len(p) + 1 for p in places.column("pieces")]
+                    lengths = np.frombuffer(segments.read(4 * sum(sizes)), "<i4")
+                    found = {c: places.column(c) for c in INDEX} | {
+                        c: pa.Array.from_buffers(pa.binary(), n, [None, edges.buffers()[1], pa.py_buffer(f.read(n * width))])
+                        for c, f in (("ids", ids), ("positions", positions))
+                    }
+                    found["cu_seqlens"] = pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype("i4"), pa.array(lengths))
+                    yield pa.RecordBatch.from_pydict({c: found[c] for c in names})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "index-*.bin").load(folder)
+    files = files.filter("length > 0").select("path")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    return files.repartition(tasks, "path").mapInArrow(read, PACKED.format(kind=kind))
+
+
+def pack_files(docs: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
+    """The rows of ``pack``, written as matrices to a new shared folder and read from these alone."""
+    spark = docs.sparkSession
+    folder = f"{scratch_folder(spark)}/packed-{uuid.uuid4().hex}"
+    durable(write_matrices(pack(docs, row_tokens), folder, row_tokens))
+    return read_matrices(spark, folder, docs.schema["doc_id"].dataType.simpleString(), row_tokens)

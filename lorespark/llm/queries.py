@@ -51,7 +51,7 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_pack_tokens")
 def op7_pack_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack_files(table(spark, folder, "documents"))
 
 
 @query("op5_toxicity")

@@ -85,3 +85,26 @@ def test_packed_rows_give_the_documents_back(spark, encoder, tmp_path):
     assert files[0].rows == len(matrix) == len(rows)
     assert sorted(m.tobytes() for m in matrix) == sorted(bytes(r.ids) for r in rows)
     assert (np.fromfile(tmp_path / f"segments-{files[0].file}", "<i4") == 0).sum() == len(rows)
+
+
+def test_rows_are_read_from_the_matrices(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").coalesce(2)
+    key = lambda r: (r.part, r.block, r.row)
+    want = sorted(packing.pack(docs, 64).collect(), key=key)
+    monkeypatch.setattr(packing, "scratch_folder", lambda _: str(tmp_path))
+    got = packing.pack_files(docs, 64)
+    assert sorted(got.collect(), key=key) == want
+    assert got.schema == packing.pack(docs, 64).schema
+    folder = next(tmp_path.iterdir())
+    assert {f.name.split("-")[0] for f in folder.glob("*.bin")} == {"ids", "positions", "segments", "index"}
+    assert sum(f.stat().st_size for f in folder.glob("ids-*.bin")) == len(want) * 128
+    assert packing.pack_files(docs.limit(0), 64).count() == 0
+
+
+def test_the_query_writes_matrices(spark, monkeypatch):
+    from lorespark.llm.queries import QUERIES
+
+    folders = []
+    write = packing.write_matrices
+    monkeypatch.setattr(packing, "write_matrices", lambda rows, folder, n: folders.append(folder) or write(rows, folder, n))
+    assert QUERIES["op7_pack_tokens"](spark, FOLDER).count() and len(folders) == 1
