@@ -59,11 +59,14 @@ class Codes:
         aside /= np.where(length > 0, length, 1)
         near = threshold * unit + np.sqrt(max(0.0, 1 - threshold**2)) * aside
         # Vectors crowded closer than the threshold leave nothing to centre: planes through zero then.
-        for self.mean in (unit.mean(0), np.zeros(self.width)):
-            if self._learn(unit, near, recall):
-                break
-
-    def _learn(self, unit: np.ndarray, near: np.ndarray, recall: float) -> bool:
+        # Where the most tables are too few, shorter substrings meet more often.
+        while not any(self._learn(unit, near, recall, mean) for mean in (unit.mean(0), np.zeros(self.width))):
+            self.bits -= 1
+            if not self.bits:
+                raise ValueError(f"no tables meet pairs at {threshold} with probability {recall}")
+
+    def _learn(self, unit: np.ndarray, near: np.ndarray, recall: float, mean: np.ndarray) -> bool:
+        self.mean = mean
         self.directions, self.tables, rotations = np.zeros((self.width, 0)), 0, 0
         met = np.zeros(len(unit), bool)
         while met.mean() < recall and self.tables < MOST_TABLES:

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from lorespark.llm import embedding_dups
 from lorespark.llm.embedding_dups import BLOCK, embedding_links
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
@@ -70,3 +71,15 @@ def test_recall_on_the_table(spark):
     assert set(got) == set(expected)
     assert all(got[v].n_links <= n for v, (n, _) in expected.items())
     assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n for n, _ in expected.values())
+
+
+def test_substrings_are_shortened_until_the_recall_is_met():
+    sample = np.random.default_rng(3).standard_normal((500, 32))
+    codes = embedding_dups.Codes(sample, 24, 0.9, 0.995)
+    assert 0 < codes.bits < 24 and codes.tables <= embedding_dups.MOST_TABLES
+    # The same pairs as in the search for the tables.
+    one = embedding_dups.units(sample)
+    aside = np.random.default_rng(codes.seed).standard_normal(one.shape)
+    aside = embedding_dups.units(aside - (aside * one).sum(1, keepdims=True) * one)
+    two = 0.9 * one + np.sqrt(1 - 0.81) * aside
+    assert (codes.values(one) == codes.values(two)).any(1).mean() >= 0.995
