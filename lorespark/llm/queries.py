@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import (
-    decontamination, embedding_dups, language, mixing, packing, quality, repeats, simhash, token_files,
+    decontamination, embedding_dups, language, mixing, packing, periodic, quality, repeats, simhash, token_files,
     toxicity,
 )
 
@@ -77,3 +77,8 @@ def op1_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_remove_repeats")
 def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeats_query(table(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.runs_query(table(spark, folder, "documents"))
