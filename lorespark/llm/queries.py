@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import (
     decontamination, embedding_dups, language, mixing, packing, periodic, quality, repeats, simhash, token_files,
-    toxicity,
+    toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.runs_query(table(spark, folder, "documents"))
+
+
+@query("op13_warc", warc.SQL)
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.warc_query(table(spark, folder, "pages"))
