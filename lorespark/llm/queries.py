@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm import (
     decontamination, embedding_dups, language, mixing, packing, periodic, quality, repeats, simhash, token_files,
-    toxicity, warc,
+    toxicity, treap, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_warc", warc.SQL)
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_query(table(spark, folder, "pages"))
+
+
+@query("op11_ranked_search", treap.SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return treap.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
