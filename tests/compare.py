@@ -26,6 +26,12 @@ def plain(value):
         return "nan" if math.isnan(value) else float(f"{value:.9g}")
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
+    if isinstance(value, bytearray):
+        return bytes(value)
+    if isinstance(value, list | tuple):
+        return tuple(plain(v) for v in value)
+    if isinstance(value, dict):
+        return tuple(sorted((plain(k), plain(v)) for k, v in value.items()))
     return value
 
 
