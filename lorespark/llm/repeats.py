@@ -9,7 +9,6 @@ compared by a hash of 128 bits. All documents meet in one global exchange; nothi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,9 +23,15 @@ ROWS = 1 << 17
 NO_ID = (1 << 63) - 1
 
 
-@cache
+#: What ``_powers`` has made in this process. A plain dictionary, so that functions that use it
+#: still travel by value to executors that lack this package.
+POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, and the powers of an odd multiplier and of its inverse."""
+    if (which, size) in POWERS:
+        return POWERS[which, size]
     random = np.random.default_rng(1000 + which)
     values = random.integers(0, 1 << 64, 256, np.uint64)
     factor = int(random.integers(0, 1 << 64, dtype=np.uint64)) // 8 * 8 + 5
@@ -34,7 +39,8 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for p in powers:
         p[0] = 1
         np.cumprod(p, out=p)
-    return values, *powers
+    POWERS[which, size] = (values, *powers)
+    return POWERS[which, size]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
