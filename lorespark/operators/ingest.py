@@ -14,7 +14,7 @@ from lorespark.operators.embedding import Embedder, embed
 from lorespark.operators.lifecycle import Tables, drop_chunks, get_sources
 from lorespark.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PHASES, SOURCE_TYPES
 from lorespark.session import durable
-from lorespark.sources.dispatch import Reader, read_sources
+from lorespark.sources.dispatch import Reader, contents_and_errors, read_or_fail
 
 CHUNK_COLUMNS = [
     "chunk_id",
@@ -218,8 +218,13 @@ def ingest_sources(
     readers: Mapping[str, Reader] | None = None,
     **options: object,
 ) -> Ingested:
-    """Read sources of any kind and ingest what was read."""
-    return ingest(kbs, sources, read_sources(sources, readers), now, **options)
+    """Read sources of any kind and ingest what was read.
+
+    Sources are read once; what was read is stored and then parted into contents and errors. A
+    source with an error is marked failed, its run log says why, and nothing of it is kept.
+    """
+    contents, errors = contents_and_errors(durable(read_or_fail(sources, readers)))
+    return ingest(kbs, sources, contents, now, errors, **options)
 
 
 def append_ingested(tables: Tables, added: Ingested) -> Tables:

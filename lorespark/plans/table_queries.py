@@ -15,6 +15,7 @@ from lorespark.plans.registry import query
 from lorespark.plans.text_queries import CHUNKS_SQL, OVERLAP, SIZE
 from lorespark.plans.wiki_views import START
 from lorespark.session import scratch_folder
+from lorespark.sources.dispatch import api_reader, commit_reader
 from lorespark.streaming.ingest import ingest_stream, latest_chunks, stream_contents
 from lorespark.streaming.runs import ROCKSDB, store_run_states, stream_run_events
 
@@ -227,6 +228,78 @@ def ingest_all(m: Model) -> DataFrame:
     return _counted({k: v for k, v in vars(added).items()})
 
 
+#: What becomes of a document as a source: by its id, texts that are fetched, refused or not there
+#: at all, and files that lie in a folder, are missing, or cannot be parsed or located.
+ROLES = 11
+ERRORS_SQL = f"""
+with role as (
+  select source_id, kb_id, source_id::bigint % {ROLES} as r,
+    case when source_id::bigint % {ROLES} <= 2 then text
+      when source_id::bigint % {ROLES} = 9
+        then regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') || chr(10) end as text
+  from m_contents),
+{CHUNKS_SQL.replace('from m_contents', 'from role where text is not null')},
+cut as (select source_id, count(*) as n, sum(length(content)) as chars from chunk group by source_id)
+select source_id, kb_id, case when r between 3 and 8 then 'failed' else 'ingested' end as status,
+  coalesce(n, 0)::int as chunk_count, coalesce(chars, 0)::bigint as chars,
+  case r when 3 then 'status 404: http://docs/' || source_id
+    when 4 then 'not fetched: http://docs/' || source_id
+    when 5 then 'no such repository: repo/' || source_id
+    when 6 then 'no such file: /no/such/folder/' || source_id || '.txt'
+    when 7 then 'unsupported file type: /no/such/folder/' || source_id || '.pdf'
+    when 8 then 'not a location: nowhere://docs/' || source_id || '.txt' end as error
+from role left join cut using (source_id)
+"""
+
+
+@query("ingest_errors", ["m_contents"], ERRORS_SQL)
+def ingest_errors(m: Model) -> DataFrame:
+    """Every document as a source of some kind, read through the readers; many cannot be read."""
+    spark = m.spark
+    docs = m.documents().withColumn("role", F.pmod("doc_id", F.lit(ROLES)))
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}-files"
+    docs.filter("role = 9").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    name = F.col("doc_id").cast("string")
+    role = F.col("role")
+    responses = docs.filter("role <= 3").select(
+        F.concat(F.lit("http://docs/"), name).alias("url"),
+        F.when(role == 3, 404).otherwise(200).alias("status_code"),
+        F.lit("text/plain").alias("content_type"),
+        F.col("text").alias("body"),
+    )
+    uri = (
+        F.when(role <= 4, F.concat(F.lit("http://docs/"), name))
+        .when(role == 5, F.concat(F.lit("repo/"), name))
+        .when(role == 6, F.concat(F.lit("/no/such/folder/"), name, F.lit(".txt")))
+        .when(role == 7, F.concat(F.lit("/no/such/folder/"), name, F.lit(".pdf")))
+        .when(role == 8, F.concat(F.lit("nowhere://docs/"), name, F.lit(".txt")))
+        .when(role == 9, F.concat(F.lit(f"{folder}/doc_id="), name))
+        .otherwise(F.concat(F.lit("/no/such/folder/"), name))
+    )
+    kind = (
+        F.when(role <= 4, "api_endpoint").when(role == 5, "git_history")
+        .when(role <= 8, "file").otherwise("directory")
+    )
+    kinds = docs.select(name.alias("source_id"), kind.alias("kind"), uri.alias("place"))
+    sources = m.doc_sources().join(kinds, "source_id").withColumns(
+        {"source_type": F.col("kind"), "uri": F.col("place")}
+    ).drop("kind", "place")
+    commits = spark.createDataFrame(
+        [], "repo string, sha string, author string, email string, date timestamp, message string"
+    )
+    changes = spark.createDataFrame(
+        [], "repo string, sha string, ord int, change_type string, a_path string, b_path string"
+    )
+    readers = {"api_endpoint": api_reader(responses), "git_history": commit_reader(commits, changes)}
+    added = ingest.ingest_sources(m.kbs(), sources, _now(), readers, size=SIZE, overlap=OVERLAP)
+    chars = added.chunks.groupBy("source_id").agg(F.sum(F.length("content")).alias("chars"))
+    failed = added.run_events.filter("status = 'failed'").select("source_id", "error")
+    return (
+        added.sources.join(chars, "source_id", "left").join(failed, "source_id", "left")
+        .select("source_id", "kb_id", "status", "chunk_count", F.coalesce("chars", F.lit(0)).alias("chars"), "error")
+    )
+
+
 @query(
     "sources_refresh",
     ["m_contents"],
@@ -269,18 +342,35 @@ def run_status(m: Model) -> DataFrame:
     )
 
 
+#: Every event of a run with the accepted state before it (``p_``) and after it (``s_``).
+WALK_SQL = """recursive ev as (
+  select *, row_number() over (partition by run_id order by ts, seq) as rn from m_run_events),
+walk as (
+  select run_id, rn, seq, phase, status, pos = 0 and status = 'running' as accepted,
+    null::int as p_pos, null::varchar as p_status,
+    case when pos = 0 and status = 'running' then pos end::int as s_pos,
+    case when pos = 0 and status = 'running' then status end as s_status
+  from ev where rn = 1
+  union all
+  select run_id, rn, seq, phase, status, ok, s_pos, s_status, case when ok then pos else s_pos end::int,
+    case when ok then status else s_status end
+  from (
+    select e.*, w.s_pos, w.s_status, coalesce(case
+      when w.s_status is null then e.pos = 0 and e.status = 'running'
+      when w.s_status = 'completed' then e.pos = w.s_pos + 1 and e.status = 'running'
+      when w.s_status = 'running' then e.pos = w.s_pos and e.status in ('completed', 'failed')
+      when w.s_status = 'failed' then e.pos = w.s_pos and e.status = 'running' end, false) as ok
+    from walk w join ev e on e.run_id = w.run_id and e.rn = w.rn + 1))
+"""
+PHASES_SQL = "['initialize', 'read_source', 'chunk', 'embed', 'integrate_wiki', 'finalize']"
+
+
 @query(
     "run_violations",
     ["m_run_events"],
-    """with moves as (
-      select *, lag(pos) over w as old_pos, lag(status) over w as old_status, lag(phase) over w as old_phase
-      from m_run_events window w as (partition by run_id order by ts, seq))
-    select run_id, seq, phase, status, old_phase as prev_phase, old_status as prev_status from moves
-    where not coalesce(case
-      when old_status is null then pos = 0 and status = 'running'
-      when old_status = 'completed' then pos = old_pos + 1 and status = 'running'
-      when old_status = 'running' then pos = old_pos and status in ('completed', 'failed')
-      when old_status = 'failed' then pos = old_pos and status = 'running' end, false)""",
+    f"""with {WALK_SQL}
+    select run_id, seq, phase, status, {PHASES_SQL}[p_pos + 1] as prev_phase, p_status as prev_status
+    from walk where not accepted""",
 )
 def run_violations(m: Model) -> DataFrame:
     found = runs.invalid_transitions(m.run_events())
@@ -386,26 +476,8 @@ def _arrived(df: DataFrame) -> tuple[str, str]:
 @query(
     "run_stream",
     ["m_run_events"],
-    """with recursive ev as (
-      select *, row_number() over (partition by run_id order by ts, seq) as rn from m_run_events),
-    walk as (
-      select run_id, rn, seq, phase, status, pos = 0 and status = 'running' as accepted,
-        case when pos = 0 and status = 'running' then pos end as s_pos,
-        case when pos = 0 and status = 'running' then status end as s_status
-      from ev where rn = 1
-      union all
-      select run_id, rn, seq, phase, status, ok, case when ok then pos else s_pos end,
-        case when ok then status else s_status end
-      from (
-        select e.*, w.s_pos, w.s_status, coalesce(case
-          when w.s_status is null then e.pos = 0 and e.status = 'running'
-          when w.s_status = 'completed' then e.pos = w.s_pos + 1 and e.status = 'running'
-          when w.s_status = 'running' then e.pos = w.s_pos and e.status in ('completed', 'failed')
-          when w.s_status = 'failed' then e.pos = w.s_pos and e.status = 'running' end, false) as ok
-        from walk w join ev e on e.run_id = w.run_id and e.rn = w.rn + 1))
-    select run_id, seq, phase, status, accepted,
-      ['initialize', 'read_source', 'chunk', 'embed', 'integrate_wiki', 'finalize'][s_pos + 1] as state_phase,
-      s_status as state_status
+    f"""with {WALK_SQL}
+    select run_id, seq, phase, status, accepted, {PHASES_SQL}[s_pos + 1] as state_phase, s_status as state_status
     from walk""",
 )
 def run_stream(m: Model) -> DataFrame:

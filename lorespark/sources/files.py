@@ -80,19 +80,56 @@ def ignore_patterns(text: str) -> list[str]:
     return [line for line in lines if line and not line.startswith("#")]
 
 
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a plain path or URI; ``ValueError`` for what names neither."""
+    if not isinstance(uri, str):
+        raise ValueError("no location")
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
+def _failure(uri: str, problem: BaseException) -> str:
+    """One line on why a location cannot be read."""
+    if isinstance(problem, FileNotFoundError):
+        return f"no such file: {uri}"
+    if isinstance(problem, OSError):
+        return f"cannot read: {uri}"
+    return f"not a location: {uri}"
+
+
+def _entries(root: str, rel_path: str, ignore: str | None) -> tuple[list[pafs.FileInfo], str | None]:
+    """What lies in a directory, and the pattern of names to ignore, which the root's own file gives.
+
+    A root that is no directory is empty, and so is a directory that must not be entered.
+    """
+    files, base = located(posixpath.join(root, rel_path) if isinstance(root, str) else root)
+    try:
+        if not rel_path and files.get_file_info(base).type != pafs.FileType.Directory:
+            return [], ignore
+        found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    except PermissionError:
+        return [], ignore
+    own = [f for f in found if not rel_path and f.base_name == IGNORE_FILE and f.is_file]
+    if own:
+        with files.open_input_stream(own[0].path) as stream:
+            ignore = any_glob(ignore_patterns(stream.read().decode("utf-8", "replace")))
+    return found, ignore
+
+
 def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries one level below each directory."""
+    """Entries one level below each directory, or a row that says why it cannot be listed."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            files, base = pafs.FileSystem.from_uri(posixpath.join(row.root, row.rel_path))
-            found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-            ignore = row.ignore
-            if row.rel_path == "":
-                own = [f for f in found if f.base_name == IGNORE_FILE and f.is_file]
-                if own:
-                    with files.open_input_stream(own[0].path) as stream:
-                        text = stream.read().decode("utf-8", "replace")
-                    ignore = any_glob(ignore_patterns(text))
+            try:
+                found, ignore = _entries(row.root, row.rel_path, row.ignore)
+            except (OSError, ValueError) as problem:
+                error = _failure(f"{row.root}/{row.rel_path}".rstrip("/"), problem)
+                yield pd.DataFrame(
+                    [(row.source_id, row.root, row.rel_path, False, None, error)],
+                    columns=[c.split()[0] for c in LISTING.split(", ")],
+                )
+                continue
             for at in range(0, len(found), BATCH_ENTRIES):
                 some = found[at : at + BATCH_ENTRIES]
                 yield pd.DataFrame(
@@ -102,11 +139,12 @@ def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "rel_path": [posixpath.join(row.rel_path, f.base_name) for f in some],
                         "is_dir": [f.type == pafs.FileType.Directory for f in some],
                         "ignore": ignore,
+                        "error": None,
                     }
                 )
 
 
-LISTING = "source_id string, root string, rel_path string, is_dir boolean, ignore string"
+LISTING = "source_id string, root string, rel_path string, is_dir boolean, ignore string, error string"
 
 
 def list_tree(roots: DataFrame) -> DataFrame:
@@ -115,12 +153,18 @@ def list_tree(roots: DataFrame) -> DataFrame:
     Gives ``(source_id, root, rel_path, path, part)``; ``part`` counts the files of a source in
     path order. Ignored directories are not entered. A missing root gives no rows.
     """
+    return list_or_fail(roots).filter("error is null").drop("error")
+
+
+def list_or_fail(roots: DataFrame) -> DataFrame:
+    """As ``list_tree``, with a row whose ``error`` tells of a directory that cannot be listed."""
     level = roots.select(
         "source_id",
         "root",
         F.lit("").alias("rel_path"),
         F.lit(True).alias("is_dir"),
         F.lit(None).cast("string").alias("ignore"),
+        F.lit(None).cast("string").alias("error"),
     )
     cores = roots.sparkSession.sparkContext.defaultParallelism
     levels: list[DataFrame] = []
@@ -129,7 +173,7 @@ def list_tree(roots: DataFrame) -> DataFrame:
         inner = F.when(F.col("is_dir"), F.concat("rel_path", F.lit("/x"))).otherwise(
             F.col("rel_path")
         )
-        found = found.withColumn("keep", kept_path(inner, None)).filter("keep").drop("keep")
+        found = found.withColumn("keep", kept_path(inner, None) | F.col("error").isNotNull()).filter("keep").drop("keep")
         name = F.regexp_extract("rel_path", r"[^/]+$", 0)
         ignored = F.rlike("rel_path", F.col("ignore")) | F.rlike(name, F.col("ignore"))
         found = durable(found.filter(~F.coalesce(ignored, F.lit(False))))
@@ -142,27 +186,40 @@ def list_tree(roots: DataFrame) -> DataFrame:
         files = files.unionByName(more)
     path = F.concat_ws("/", F.regexp_replace("root", "/+$", ""), "rel_path")
     files = files.select(
-        "source_id", "root", "rel_path", path.alias("path"), F.split("rel_path", "/").alias("_at")
+        "source_id", "root", "rel_path", path.alias("path"), "error", F.split("rel_path", "/").alias("_at")
     )
     placed = numbered(files, ["source_id"], ["_at"], "_n")
     return placed.withColumn("part", (F.col("_n") - 1).cast("int")).drop("_at", "_n")
 
 
-READ = ["source_id", "path", "part", "data"]
+READ = ["source_id", "path", "part", "data", "error"]
+
+
+def _file_bytes(uri: str) -> bytes:
+    files, path = located(uri)
+    kind = files.get_file_info(path).type
+    if kind == pafs.FileType.NotFound:
+        raise FileNotFoundError(uri)
+    if kind != pafs.FileType.File:
+        raise OSError(uri)
+    # The bytes as they are, whatever the name's ending says about compression.
+    with files.open_input_stream(path, compression=None) as stream:
+        return stream.read()
 
 
 def _read_bytes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """File bytes, a bounded number of megabytes per batch; directories and gaps are skipped."""
+    """File bytes, a bounded number of megabytes per batch, or why a file cannot be read."""
     for frame in frames:
         held, size = [], 0
         for row in frame.itertuples(index=False):
-            files, path = pafs.FileSystem.from_uri(row.path)
-            if not files.get_file_info(path).is_file:
-                continue
-            with files.open_input_stream(path) as stream:
-                data = stream.read()
-            held.append((row.source_id, row.path, row.part, data))
-            size += len(data)
+            data, error = None, row.error
+            if error is None:
+                try:
+                    data = _file_bytes(row.path)
+                except (OSError, ValueError) as problem:
+                    error = _failure(row.path, problem)
+            held.append((row.source_id, row.path, row.part, data, error))
+            size += len(data or b"")
             if size >= BATCH_BYTES:
                 yield pd.DataFrame(held, columns=READ)
                 held, size = [], 0
@@ -173,37 +230,55 @@ def _read_bytes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_corpus(listing: DataFrame) -> DataFrame:
     """``(source_id, path, part, text, metadata)`` of listed files (``source_id, path, part``).
 
-    Bad UTF-8 is replaced, line ends become ``\\n``, JSON files are re-indented, files without
-    text drop out. PDF parsing is not part of this library; such files are left out.
+    Bad UTF-8 is replaced, line ends become ``\\n``, JSON files are re-indented. Files without
+    text drop out, and so do those that ``read_or_fail`` gives an error for.
+    """
+    return read_or_fail(listing).filter("error is null").drop("error")
+
+
+def read_or_fail(listing: DataFrame) -> DataFrame:
+    """Listed files as rows of one stream: a text, or the ``error`` that stands in its way.
+
+    Each file is opened once. A missing or unreadable file, a path that names no location, and a
+    type that this library does not parse (PDF) are errors; those of the listing pass through.
     """
     kind = extension(F.col("path"))
     cores = listing.sparkSession.sparkContext.defaultParallelism
-    readable = listing.filter(kind != ".pdf").select("source_id", "path", "part")
-    loaded = readable.repartition(cores, "path").mapInPandas(
-        _read_bytes, "source_id string, path string, part int, data binary"
+    known = F.col("error") if "error" in listing.columns else F.lit(None).cast("string")
+    unsupported = F.concat(F.lit("unsupported file type: "), "path")
+    listed = listing.select(
+        "source_id", "path", "part", F.coalesce(known, F.when(kind == ".pdf", unsupported)).alias("error")
+    )
+    loaded = listed.repartition(cores, "path").mapInPandas(
+        _read_bytes, "source_id string, path string, part int, data binary, error string"
     )
     text = F.regexp_replace(F.make_valid_utf8(F.col("data").cast("string")), "\r\n?", "\n")
-    rows = loaded.select("source_id", "path", "part", text.alias("text"), kind.alias("file_type"))
+    rows = loaded.select(
+        "source_id", "path", "part", text.alias("text"), kind.alias("file_type"), "error"
+    )
     json = rows.filter("file_type = '.json'").withColumn("text", indent_json(F.col("text")))
-    rows = rows.filter("file_type <> '.json'").unionByName(json)
+    rows = rows.filter("file_type is null or file_type <> '.json'").unionByName(json)
     metadata = F.create_map(
         F.lit("file_path"), F.col("path"), F.lit("file_type"), F.col("file_type")
     )
-    return rows.filter(F.length("text") > 0).select(
-        "source_id", "path", "part", "text", metadata.alias("metadata")
+    return rows.filter((F.length("text") > 0) | F.col("error").isNotNull()).select(
+        "source_id", "path", "part", "text", metadata.alias("metadata"), "error"
     )
 
 
 def read_files(sources: DataFrame) -> DataFrame:
-    """Contents of single-file sources (``uri`` is the path)."""
+    """Contents of single-file sources (``uri`` is the path), or why there are none."""
     listing = sources.select("source_id", F.col("uri").alias("path"), F.lit(0).alias("part"))
-    return _contents(sources, read_corpus(listing))
+    return _contents(sources, read_or_fail(listing))
 
 
 def read_tree(sources: DataFrame) -> DataFrame:
-    """Contents of directory sources: every file that survives the filters, one part each."""
+    """Contents of directory sources: every file that survives the filters, one part each.
+
+    A directory that is missing is empty; a file in it that cannot be read is an error.
+    """
     roots = sources.select("source_id", F.col("uri").alias("root"))
-    return _contents(sources, read_corpus(list_tree(roots)))
+    return _contents(sources, read_or_fail(list_or_fail(roots)))
 
 
 def read_codebase(sources: DataFrame) -> DataFrame:
@@ -220,4 +295,5 @@ def _contents(sources: DataFrame, corpus: DataFrame) -> DataFrame:
         "part",
         "text",
         merge_metadata(F.col("metadata"), F.col("user")).alias("metadata"),
+        "error",
     )

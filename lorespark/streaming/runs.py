@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lorespark.schemas import PHASES, RUN_EVENTS
+from lorespark.operators.runs import STATES, entered_from
+from lorespark.schemas import RUN_EVENTS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = (
@@ -20,14 +21,9 @@ OUT = (
 
 def allowed(old: tuple[str, str] | None, new: tuple[str, str]) -> bool:
     """Whether a run in state ``old`` (phase, status) may go to ``new``."""
-    if old is None:
-        return new == (PHASES[0], "running")
-    moves = {
-        "running": [(old[0], "completed"), (old[0], "failed")],
-        "failed": [(old[0], "running")],
-        "completed": [(p, "running") for p in PHASES[PHASES.index(old[0]) + 1 :][:1]],
-    }
-    return new in moves.get(old[1], [])
+    if new not in STATES or (old is not None and old not in STATES):
+        return False
+    return (0 if old is None else STATES.index(old) + 1) in entered_from(*new)
 
 
 class RunProcessor(StatefulProcessor):

@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.schemas import SOURCES
+from lorespark.session import durable
 from lorespark.sources.commits import commit_documents
 from lorespark.sources.dispatch import (
     api_reader,
     commit_reader,
+    contents_and_errors,
+    read_or_fail,
     read_sources,
     table_reader,
     website_reader,
@@ -89,6 +92,52 @@ def test_missing_file_gives_nothing(spark, tree):
     assert read_corpus(listing).count() == 0
 
 
+def test_what_cannot_be_read_is_told_beside_what_can(spark, tree):
+    (tree / "sub" / "paper.pdf").write_bytes(b"%PDF")
+    (tree / "x.gz").write_bytes(b"plain all the same")
+    responses = spark.createDataFrame(
+        [("ok", 200, "text/plain", "fine"), ("gone", 404, "text/plain", "no"), ("blank", 200, "text/plain", ""), ("odd", None, "text/plain", "x")],
+        "url string, status_code int, content_type string, body string",
+    )
+    pages = spark.createDataFrame([("w", HTML), ("w0", "<nav>only</nav>")], "url string, html string")
+    commits = spark.createDataFrame(
+        [("r", f"c{i}", "Ann", "a@x", datetime.datetime(2024, 1, i + 1), "m") for i in range(3)],
+        "repo string, sha string, author string, email string, date timestamp, message string",
+    )
+    changes = spark.createDataFrame([], "repo string, sha string, ord int, change_type string, a_path string, b_path string")
+    rows = sources(
+        spark,
+        source("ok", "file", tree / "a.txt"), source("gone", "file", tree / "no.txt"), source("dir", "file", tree / "sub"),
+        source("pdf", "file", tree / "sub" / "paper.pdf"), source("bad", "file", "nowhere://x/y"), source("gz", "file", tree / "x.gz"),
+        source("empty", "file", tree / "empty.txt"),
+        source("tree", "directory", tree / "sub"), source("clean", "directory", tree / "sub" / "deep"),
+        source("none", "directory", tree / "nothing"), source("flat", "directory", tree / "a.txt"), source("badtree", "codebase", "nowhere://x"),
+        source("a1", "api_endpoint", "ok"), source("a2", "api_endpoint", "gone"), source("a3", "api_endpoint", "blank"),
+        source("a4", "api_endpoint", "never"), source("a5", "api_endpoint", "odd"),
+        source("w1", "website", "w"), source("w2", "website", "w0"), source("w3", "website", "w?"),
+        source("g1", "git_history", "r", {"max_commits": "1"}), source("g2", "git_history", "r"), source("g3", "git_history", "q"),
+        source("d1", "sql_database", "db://x"), source("d2", "sql_database", "db://y"), source("d3", "sql_database", "db://empty"),
+        ("null", "kb", "file", None, {}, None, 0, "pending"),
+    )
+    readers = {
+        "api_endpoint": api_reader(responses), "website": website_reader(pages), "git_history": commit_reader(commits, changes),
+        "sql_database": table_reader({"db://x": {"t": spark.range(1)}, "db://empty": {}}),
+    }
+    got = durable(read_or_fail(rows, readers))
+    contents, errors = contents_and_errors(got)
+    assert {r.source_id: r.error for r in errors.collect()} == {
+        "gone": f"no such file: {tree}/no.txt", "dir": f"cannot read: {tree}/sub",
+        "pdf": f"unsupported file type: {tree}/sub/paper.pdf", "bad": "not a location: nowhere://x/y",
+        "tree": f"unsupported file type: {tree}/sub/paper.pdf", "badtree": "not a location: nowhere://x",
+        "a2": "status 404: gone", "a4": "not fetched: never", "a5": "status missing: odd", "w3": "not fetched: w?",
+        "g3": "no such repository: q", "d2": "no such database: db://y", "null": "not a location: None",
+    }
+    assert got.filter("(error is null) = (text is null)").count() == 0
+    parts = {r.source_id: r.n for r in contents.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
+    assert parts == {"ok": 1, "gz": 1, "tree": 4, "clean": 1, "a1": 1, "w1": 1, "g1": 1, "g2": 3, "d1": 1}
+    assert contents.filter("source_id = 'gz'").first().text == "plain all the same"
+
+
 def test_filter_paths_rules(spark):
     paths = ["a.py", "x/.h/b", ".env", "build/a", "x/build/a", "build", "x/a.log", "tmp/k/a.txt", "a/tmp/z"]
     df = spark.createDataFrame([(p,) for p in paths], "rel_path string")
