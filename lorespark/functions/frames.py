@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lorespark.session import durable
 
+# Rows of ids and numbers, some 200 bytes each, that are sent to every task at most.
+FETCH_ROWS = 100_000
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input enough partitions for all cores before CPU-heavy narrow work.
@@ -49,6 +52,18 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def fetch(rows: DataFrame, wide: DataFrame, key: str, most: int = FETCH_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``wide`` for their ``key``, without shuffling ``wide``.
+
+    ``rows`` are stored and counted first. Up to ``most`` of them go to every task that reads
+    ``wide``; more meet it by whatever join the planner finds.
+    """
+    stored = durable(rows)
+    if stored.count() <= most:
+        return wide.join(F.broadcast(stored), key)
+    return stored.join(wide, key)
+
+
 def reject(bad: DataFrame, column: str, message: str) -> None:
     """Raise if the frame has a row, naming a few of the offending values."""
     seen = [str(r[0]) for r in bad.select(column).limit(5).collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.arrays import bind, run_lengths
-from lorespark.functions.frames import top_k
+from lorespark.functions.frames import fetch, top_k
 from lorespark.functions.text import normalized, terms
 from lorespark.schemas import TOP_K
 from lorespark.session import durable
@@ -17,6 +17,9 @@ B = 0.75
 # Scores are rounded to this many places before ranking, so that the order of summation
 # cannot break a tie that the id should.
 SCORE_PLACES = 9
+# Postings of one term in one kb that one task joins, and how many terms are cut at most.
+HEAVY_POSTINGS = 1_000_000
+MOST_HEAVY = 4096
 
 
 def page_text(pages: DataFrame) -> Column:
@@ -106,16 +109,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_hits(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Query terms met in a page; a query without ``kb_id`` looks into every one."""
-    w = wanted.select("query_id", F.col("kb_id").alias("in_kb"), "n_terms", "term")
+def term_counts(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(kb_id, term, n)``: in how many pages of each kb a wanted term stands; a slim stored table."""
+    asked = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    return durable(asked.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def term_hits(
+    postings: DataFrame, wanted: DataFrame, counts: DataFrame, heavy: int = HEAVY_POSTINGS
+) -> DataFrame:
+    """Postings of wanted terms, with the columns of ``wanted(query_id, in_kb, term, ...)``.
+
+    ``kb_df`` is in how many pages of the posting's kb its term stands. A query without ``in_kb`` looks into every kb. Its terms are first spread over the kbs that
+    hold them, so all queries meet postings by kb and term. A term that stands in over ``heavy``
+    pages of a kb is cut into parts by a hash of the page; the ``MOST_HEAVY`` heaviest terms are
+    cut at most, which are part of the expression, and the others left to adaptive skew joins.
+    """
+    hot = (
+        counts.filter(F.col("n") > heavy).orderBy(F.col("n").desc(), "kb_id", "term")
+        .limit(MOST_HEAVY).collect()
+    )
     inside = F.col("in_kb").isNull() | (F.col("in_kb") == F.col("kb_id"))
-    return postings.join(w, "term").filter(inside)
+    asked = wanted.join(counts.withColumnRenamed("n", "kb_df"), "term").filter(inside).drop("in_kb")
+    if not hot:
+        return postings.join(asked, ["kb_id", "term"])
+    name = lambda kb, term: F.to_json(F.array(kb, term))
+    sizes = [(name(F.lit(r["kb_id"]), F.lit(r["term"])), F.lit(-(-r["n"] // heavy))) for r in hot]
+    parts = F.coalesce(
+        F.try_element_at(F.create_map(*[x for pair in sizes for x in pair]), name(F.col("kb_id"), F.col("term"))),
+        F.lit(1),
+    ).cast("int")
+    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = postings.withColumn("_part", F.pmod(F.xxhash64("page_id"), parts).cast("int"))
+    return cut.join(asked, ["kb_id", "term", "_part"]).drop("_part")
 
 
 def match_pages(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, kb_id, page_id)`` of the pages that hold all terms of the query."""
-    hits = term_hits(postings, query_terms(queries))
+    wanted = query_terms(queries).withColumnRenamed("kb_id", "in_kb")
+    hits = term_hits(postings, wanted, term_counts(postings, wanted))
     return (
         hits.groupBy("query_id", "kb_id", "page_id")
         .agg(F.count(F.lit(1)).alias("met"), F.first("n_terms").alias("n_terms"))
@@ -156,9 +188,11 @@ def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) ->
     )
     inside = F.col("in_kb").isNull() | (F.col("in_kb") == F.col("kb_id"))
     page = ["query_id", "kb_id", "page_id"]
+    words = F.concat("any", "none", "phrase")
+    counts = term_counts(postings, asked.select(F.explode(words).alias("term")))
 
     def holding(wanted: DataFrame) -> DataFrame:
-        return postings.join(wanted, "term").filter(inside)
+        return term_hits(postings, wanted, counts)
 
     any_hits = holding(asked.select("query_id", "in_kb", F.explode("any").alias("term")))
     lengths = asked.agg(F.collect_set(F.length("prefix")).alias("n")).select("n").scalar()
@@ -226,11 +260,13 @@ def bm25(
     """
     if stats_scope not in ("global", "kb"):
         raise ValueError(f"stats_scope must be 'global' or 'kb', got {stats_scope!r}")
-    wanted = query_terms(queries)
-    relevant = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    keys = ["term"] if stats_scope == "global" else ["kb_id", "term"]
-    df = relevant.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-    hits = term_hits(postings, wanted).join(df, keys)
+    wanted = query_terms(queries).withColumnRenamed("kb_id", "in_kb")
+    counts = term_counts(postings, wanted)
+    if stats_scope == "global":
+        wanted = wanted.join(counts.groupBy("term").agg(F.sum("n").alias("df")), "term")
+        hits = term_hits(postings, wanted, counts)
+    else:
+        hits = term_hits(postings, wanted, counts).withColumn("df", F.col("kb_df"))
     size = [F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len")]
     if stats_scope == "global":
         totals = stats.agg(*size)
@@ -258,8 +294,10 @@ def rank_matches(matches: DataFrame, k: int) -> DataFrame:
     """First ``k`` matches per query with ``rank`` and the ``total`` before the cut.
 
     The total is a plain count joined in, not a window over all matches of a query, so a
-    query that meets a third of the corpus still reduces map-side.
+    query that meets a third of the corpus still reduces map-side. Both read the matches, ids
+    and scores only, from a stored table, so nothing is scored twice.
     """
+    matches = durable(matches)
     totals = matches.groupBy("query_id").agg(F.count("score").alias("total"))
     order = [F.col("score").desc(), F.col("page_id")]
     return top_k(matches, ["query_id"], order, k, "rank").join(totals, "query_id")
@@ -285,7 +323,7 @@ def keyword_search(
         "content",
         F.to_json(F.struct("title", "page_type", "tags")).alias("metadata"),
     )
-    return ranked.join(shown, "page_id").select(
+    return fetch(ranked, shown, "page_id").select(
         "query_id",
         "kb_id",
         "rank",

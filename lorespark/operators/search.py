@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.frames import latest, top_k
+from lorespark.functions.frames import fetch, latest, top_k
 from lorespark.operators.embedding import Embedder, embed, embed_queries
 from lorespark.operators.keyword import SCORE_PLACES, keyword_search
 from lorespark.operators.vectors import vector_topk
@@ -43,7 +43,7 @@ def semantic_search(
         "content",
         F.to_json("metadata").alias("metadata"),
     )
-    return found.join(shown, "vec_id").select(
+    return fetch(found, shown, "vec_id").select(
         "query_id",
         "kb_id",
         "rank",

@@ -97,7 +97,7 @@ def postings_refresh(m: Model) -> DataFrame:
     f"with {POSTINGS_SQL}, {BM25_SQL} select query_id, kb_id, page_id from scored",
 )
 def keyword_match(m: Model) -> DataFrame:
-    return match_pages(build_postings(m.pages()), m.queries())
+    return match_pages(durable(build_postings(m.pages())), m.queries())
 
 
 @query(
@@ -163,8 +163,8 @@ def bm25_rank(m: Model) -> DataFrame:
     select query_id, kb_id, page_id, round(score, 6) as score from scored""",
 )
 def bm25_rank_per_kb(m: Model) -> DataFrame:
-    pages = m.pages()
-    found = bm25(build_postings(pages), doc_stats(pages), m.queries(), stats_scope="kb")
+    queries = m.queries()
+    found = bm25(*search_index(m.pages(), queries), queries, stats_scope="kb")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -212,7 +212,8 @@ semantic as (
 
 
 def _chunks(m: Model) -> DataFrame:
-    return chunk_contents(m.contents())
+    """The chunks table of a running knowledge base: stored, so that texts are cut once."""
+    return durable(chunk_contents(m.contents()))
 
 
 @query(
