@@ -202,8 +202,14 @@ def descend(grid: Grid, item: np.ndarray, row: np.ndarray, weight: np.ndarray, b
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """How many documents have a term, and how many terms all have, repeats included."""
-    n = F.regexp_count("text", F.lit(TERM))
-    return tuple(int(x) for x in docs.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))).first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(TERMS.findall(t.as_py() or "")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"docs": [sum(x > 0 for x in n)], "terms": [sum(n)]})
+
+    found = docs.select("text").mapInArrow(run, "docs long, terms long")
+    return tuple(int(x or 0) for x in found.agg(F.sum("docs"), F.sum("terms")).first())
 
 
 def build_grids(docs: DataFrame, n_docs: int, n_terms: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
