@@ -135,13 +135,16 @@ def _stretch_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
     )
     for frame in _joined(rows, ["doc", "mark", "start", "strings", "anchor", "content", "sides"]):
         # Of equal stretches met here all but the first surely go: they are dealt out anywhere.
-        frame = frame.sort_values(["anchor", "content", "doc", "mark", "start"], ignore_index=True)
+        ordered = frame.sort_values(["anchor", "content", "doc", "mark", "start"])
         # Rows of equal id and text are one document: its stretches are met once, not again.
-        place = frame[["doc", "mark", "start"]].to_numpy()
-        frame = frame[np.append(True, (place[1:] != place[:-1]).any(1))]
-        repeated = frame.duplicated(["anchor", "content", "strings"]).to_numpy()
-        spread = frame["content"].to_numpy() + 31 * frame["doc"].to_numpy() + frame["start"].to_numpy()
-        yield frame.assign(repeated=repeated, anchor=np.where(repeated, spread, frame["anchor"].to_numpy()))
+        place = ordered[["doc", "mark", "start"]].to_numpy()
+        ordered = ordered[np.append(True, (place[1:] != place[:-1]).any(1))]
+        repeated = ordered.duplicated(["anchor", "content", "strings"]).to_numpy()
+        spread = ordered["content"].to_numpy() + 31 * ordered["doc"].to_numpy() + ordered["start"].to_numpy()
+        ordered = ordered.assign(repeated=repeated, anchor=np.where(repeated, spread, ordered["anchor"].to_numpy()))
+        # What is settled needs no hashes; in the order of the text, ids and places pack well.
+        ordered.loc[repeated, ["content", "sides"]] = 0
+        yield ordered.sort_index()
 
 
 def _pieces(batch: pd.DataFrame) -> Iterator[tuple]:
