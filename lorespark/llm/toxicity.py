@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -31,7 +31,9 @@ UNITS = 8
 ATTENTION = 8
 WINDOW, STRIDE = 48, 32
 ROWS = 2048
-BLOCK_WORDS = 1 << 17
+BLOCK_WORDS = 1 << 15
+GRAM_WORDS = 1 << 12
+TEXTS = 512
 STEPS = 160
 BAG = 12
 PICKED = 20
@@ -57,13 +59,17 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_means(words: list[str], table: np.ndarray) -> np.ndarray:
-    owner, row = grams(words)
-    order = np.argsort(owner, kind="stable")
-    count = np.bincount(owner, minlength=len(words))
-    ends = np.cumsum(count)
-    sums = np.zeros((len(row) + 1, table.shape[1]))
-    np.cumsum(table[row[order]], axis=0, out=sums[1:])
-    return (sums[ends] - sums[ends - count]) / np.maximum(count, 1)[:, None]
+    """The mean row of ``table`` over the grams of each word, a bounded number of words at a time."""
+    means = np.empty((len(words), table.shape[1]))
+    for start in range(0, len(words), GRAM_WORDS):
+        some = words[start : start + GRAM_WORDS]
+        owner, row = grams(some)
+        order = np.argsort(owner, kind="stable")
+        count = np.bincount(owner, minlength=len(some))
+        # Marked at both ends, each word has a gram at least.
+        sums = np.add.reduceat(table[row[order]], np.cumsum(count) - count, axis=0, dtype=np.float64)
+        means[start : start + len(some)] = sums / count[:, None]
+    return means
 
 
 def word_inputs(p: Params, own: np.ndarray, words: list[str]) -> np.ndarray:
@@ -268,12 +274,17 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, per_
     """
     vocabulary, p = train(sample_texts(training, labels, per_class, MOST_CHARS), label_odds(labels))
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(document_scores(vocabulary, p, list(texts)), dtype="float64")
+            # A few texts at a time become Python strings.
+            found = [
+                document_scores(vocabulary, p, texts.slice(at, TEXTS).to_pylist())
+                for at in range(0, len(texts), TEXTS)
+            ]
+            yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     plain = docs.drop("score")
-    return plain.withColumn("score", F.pandas_udf(score, DoubleType())("text"))
+    return plain.withColumn("score", F.arrow_udf(score, DoubleType())("text"))
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
