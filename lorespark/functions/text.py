@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 TOKEN_UNIT = r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+$"
 TERM = r"[\p{L}\p{N}]+"
+# Fixed value: how pages name each other.
 WIKILINK = r"\[\[([^\[\]]+)\]\]"
 
 
@@ -52,11 +53,8 @@ def wikilinks(content: Column) -> Column:
 
 
 def file_stem(title: Column) -> Column:
-    """A page title as a file name without extension."""
-    name = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s-]", "-")
-    name = F.regexp_replace(name, r"[\s_]+", "-")
-    name = F.regexp_replace(name, r"-{2,}", "-")
-    return F.regexp_replace(name, r"^-+|-+$", "")
+    """A page title as a file name without extension: its letters and digits, joined by dashes."""
+    return F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
 
 
 def isoformat(ts: Column) -> Column:

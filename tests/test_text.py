@@ -60,7 +60,15 @@ def test_empty_text_gives_nothing_and_metadata_is_copied(spark):
     assert [r.metadata for r in df.collect()] == [{"b": "2"}]
 
 
-CODE = "import os\n\nclass Foo:\n    def bar(self):\n        pass\n\ndef baz():\n    return 42\n"
+CODE = """LIMIT = 3
+
+class Queue:
+    items = []
+
+def drain(queue):
+    while queue.items:
+        yield queue.items.pop()
+"""
 
 
 def test_python_symbols(spark):
@@ -68,16 +76,16 @@ def test_python_symbols(spark):
     rows = df.orderBy("chunk_index").collect()
     assert [(r.symbol_type, r.symbol_name) for r in rows] == [
         ("module", None),
-        ("class", "Foo"),
-        ("function", "baz"),
+        ("class", "Queue"),
+        ("function", "drain"),
     ]
     assert "".join(r.content for r in rows) == CODE
 
 
 def test_large_symbol_is_cut_and_keeps_its_name(spark):
-    body = "def huge():\n" + "\n".join(f"    x_{i} = {i}" for i in range(200))
-    rows = symbol_chunk(contents(spark, (body, {"language": "python"})), 50, 10).collect()
-    assert len(rows) > 1 and {r.symbol_name for r in rows} == {"huge"}
+    body = "def total(rows):\n" + "    rows.append(sum(rows))\n" * 90 + "    return rows\n"
+    rows = symbol_chunk(contents(spark, (body, {"language": "python"})), 40, 8).collect()
+    assert len(rows) > 1 and {(r.symbol_type, r.symbol_name) for r in rows} == {("function", "total")}
 
 
 def test_javascript_export_class_is_no_start_but_typescript_has_it(spark):
@@ -103,7 +111,7 @@ def test_other_language_and_no_symbol_fall_back(spark):
 def test_chunk_contents_puts_symbols_into_metadata(spark):
     df = chunk_contents(contents(spark, (CODE, {"language": "python"}), ("plain", {"k": "v"})))
     metas = [r.metadata for r in df.orderBy("source_id", "chunk_index").collect()]
-    assert metas[1] == {"language": "python", "symbol_type": "class", "symbol_name": "Foo"}
+    assert metas[1] == {"language": "python", "symbol_type": "class", "symbol_name": "Queue"}
     assert metas[0] == {"language": "python", "symbol_type": "module"}
     assert metas[-1] == {"k": "v"}
     assert df.select("chunk_id").distinct().count() == df.count()
@@ -118,12 +126,13 @@ def test_language_tags(spark):
 @pytest.mark.parametrize(
     "title,name",
     [
-        ("My Page Title", "my-page-title.md"),
-        ("Page: A/B (Test)", "page-a-b-test.md"),
-        ("--Hello World--", "hello-world.md"),
-        ("A!!!B", "a-b.md"),
-        ("Café & Bistro", "café-bistro.md"),
-        ("hello_world_page", "hello-world-page.md"),
+        ("Quarterly Sales, North", "quarterly-sales-north.md"),
+        ("etc/hosts [old] <v2>", "etc-hosts-old-v2.md"),
+        ("..draft__of - things..", "draft-of-things.md"),
+        ("Straße Nº 7 – ½", "straße-nº-7-½.md"),
+        ("漢字 と kana", "漢字-と-kana.md"),
+        ("one\ttwo\n", "one-two.md"),
+        ("?!", ".md"),
     ],
 )
 def test_file_names(spark, title, name):
