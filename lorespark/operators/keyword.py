@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.arrays import bind, run_lengths
 from lorespark.functions.frames import fetch, top_k
-from lorespark.functions.text import normalized, terms
+from lorespark.functions.text import terms
 from lorespark.schemas import TOP_K
 from lorespark.session import durable
 
@@ -20,6 +20,12 @@ SCORE_PLACES = 9
 # Postings of one term in one kb that one task joins, and how many terms are cut at most.
 HEAVY_POSTINGS = 1_000_000
 MOST_HEAVY = 4096
+# How to write a table with positions: Parquet then keeps a list of ascending numbers as the
+# gaps between them, packed to as many bits as they need.
+POSITION_FORMAT = {
+    "parquet.writer.version": "v2",
+    "parquet.enable.dictionary#positions.list.element": "false",
+}
 
 
 def page_text(pages: DataFrame) -> Column:
@@ -49,6 +55,48 @@ def build_postings(pages: DataFrame) -> DataFrame:
     return rows.select("kb_id", "page_id", "p.*")
 
 
+def build_positions(pages: DataFrame) -> DataFrame:
+    """``build_postings`` with ``positions array<int>``: where in the page its term stands.
+
+    Words are numbered through title, content and tags, and a number is left out between two of
+    them, so that no phrase runs across. The columns of plain postings are the same, so one
+    table serves ranking, which never reads the positions, and phrases. Write it with
+    ``POSITION_FORMAT``.
+    """
+    border = F.array(F.lit("|"))  # no term
+    words: list[Column] = []
+    for c in ("title", "content", "tags"):
+        if c in pages.columns:
+            text = F.concat_ws(" ", c)
+            words += [border, terms(text)] if words else [terms(text)]
+    borders = (len(words) - 1) // 2
+
+    def listed(w: Column, s: Column, p: Column) -> Column:
+        def entry(start: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(p, j + 1), F.size(s)) - start
+            return F.struct(
+                F.get(s, start)["term"].alias("term"),
+                n.alias("tf"),
+                (F.size(w) - borders).alias("doc_len"),
+                F.transform(F.slice(s, start + 1, n), lambda x: x["at"]).alias("positions"),
+            )
+
+        return F.filter(F.transform(p, entry), lambda e: e["term"] != "|")
+
+    def placed(w: Column) -> Column:
+        spots = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("at"))))
+
+        def starts(s: Column) -> Column:
+            return F.filter(
+                F.sequence(F.lit(0), F.size(s) - 1),
+                lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]),
+            )
+
+        return F.when(F.size(w) > 0, bind(spots, lambda s: bind(starts(s), lambda p: listed(w, s, p))))
+
+    return pages.select("kb_id", "page_id", F.inline(bind(F.concat(*words), placed)))
+
+
 def search_index(
     pages: DataFrame, queries: DataFrame, resident_terms: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +143,46 @@ def doc_stats(pages: DataFrame) -> DataFrame:
 
 
 def refresh_postings(postings: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Postings after pages were changed (rebuilt) or deleted (dropped)."""
+    """Postings, with or without positions, after pages were changed (rebuilt) or deleted (dropped)."""
+    build = build_positions if "positions" in postings.columns else build_postings
     gone = changed.select("page_id").unionByName(deleted.select("page_id"))
     kept = postings.join(gone, "page_id", "left_anti").select(*postings.columns)
-    return kept.unionByName(build_postings(changed).select(*postings.columns))
+    return kept.unionByName(build(changed).select(*postings.columns))
+
+
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """``(kb_id, term, n)``: in how many pages of each kb a term stands."""
+    return postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kb_sizes(stats: DataFrame) -> DataFrame:
+    """``(kb_id, pages, words)`` from the rows of ``doc_stats``."""
+    return stats.groupBy("kb_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.col("doc_len").cast("long")).alias("words")
+    )
+
+
+def refresh_statistics(
+    frequencies: DataFrame, sizes: DataFrame, before: DataFrame, after: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``term_frequencies`` and ``kb_sizes`` after pages changed, without a look at the others.
+
+    ``before`` holds the pages that were changed or deleted as they were, ``after`` those changed
+    or added as they are. What the former counted is taken off, what the latter count is added;
+    a term or kb that no page is left for loses its row. A page must not be in ``before`` that
+    was not counted, nor twice in either.
+    """
+
+    def merged(base: DataFrame, lost: DataFrame, won: DataFrame, keys: list[str]) -> DataFrame:
+        figures = [c for c in base.columns if c not in keys]
+        off = lost.select(*keys, *[(-F.col(c)).alias(c) for c in figures])
+        sums = [F.sum(c).alias(c) for c in figures]
+        both = base.unionByName(won).unionByName(off).groupBy(*keys).agg(*sums)
+        return both.filter(F.col(figures[0]) > 0)
+
+    counted = [term_frequencies(build_postings(p)) for p in (before, after)]
+    sized = [kb_sizes(doc_stats(p)) for p in (before, after)]
+    return merged(frequencies, *counted, ["kb_id", "term"]), merged(sizes, *sized, ["kb_id"])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -109,10 +193,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(kb_id, term, n)``: in how many pages of each kb a wanted term stands; a slim stored table."""
-    asked = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    return durable(asked.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("n")))
+def term_counts(
+    postings: DataFrame, wanted: DataFrame, frequencies: DataFrame | None = None
+) -> DataFrame:
+    """``term_frequencies`` of the wanted terms, as a slim stored table."""
+    asked = wanted.select("term").distinct()
+    if frequencies is not None:
+        return durable(frequencies.join(asked, "term", "left_semi").select("kb_id", "term", "n"))
+    return durable(term_frequencies(postings.join(asked, "term", "left_semi")))
 
 
 def term_hits(
@@ -156,13 +244,36 @@ def match_pages(postings: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) -> DataFrame:
+def match_phrases(positions: DataFrame, phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(query_id, kb_id, page_id)`` where the words of ``phrases(query_id, in_kb, phrase)`` stand in a row.
+
+    The positions of every word are moved back by its place in the phrase; where the moved lists
+    of all words share a number, the phrase starts. Reads postings only, no text.
+    """
+    wanted = phrases.select(
+        "query_id", "in_kb", F.size("phrase").alias("n"), F.posexplode("phrase").alias("place", "term")
+    )
+    starts = F.transform("positions", lambda at: at - F.col("place"))
+    shared = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
+    return (
+        term_hits(positions, wanted, counts)
+        .groupBy("query_id", "kb_id", "page_id")
+        .agg(F.first("n").alias("n"), F.collect_list(starts).alias("starts"))
+        .filter((F.size("starts") == F.col("n")) & (F.size(shared) > 0))
+        .select("query_id", "kb_id", "page_id")
+    )
+
+
+def match_boolean(
+    postings: DataFrame, pages: DataFrame | None, queries: DataFrame
+) -> DataFrame:
     """Structured matching: ``queries(query_id, kb_id, any, none, prefix, phrase)``.
 
     A page matches when it has one of the words ``any``, a term starting with ``prefix``, the
     words of ``phrase`` in a row, and none of the words ``none``; a null or empty argument
     does not restrict. Every positive argument finds its pages by an equi-join with the
-    postings; only pages that hold all words of a phrase have their text looked at.
+    postings. With the postings of ``build_positions`` no text is read and ``pages`` may be None;
+    for plain postings, positions are built from ``pages``.
     """
 
     def word(text: Column) -> Column:
@@ -204,31 +315,8 @@ def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) ->
         .join(asked.filter("prefix is not null").select("query_id", "in_kb", "prefix"), "prefix")
         .filter(inside)
     )
-    words = F.array_distinct("phrase")
-    phrase_words = asked.select(
-        "query_id",
-        "in_kb",
-        F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" ")).alias("flat"),
-        F.size(words).alias("n"),
-        F.explode(words).alias("term"),
-    )
-    # a bar between the fields keeps a phrase from running across two of them
-    fields = F.concat_ws(
-        "|",
-        *[
-            normalized(F.array_join(c, " ") if c == "tags" else F.col(c))
-            for c in ("title", "content", "tags")
-            if c in pages.columns
-        ],
-    )
-    phrase_hits = (
-        holding(phrase_words)
-        .groupBy(*page, "flat", "n")
-        .agg(F.count(F.lit(1)).alias("met"))
-        .filter(F.col("met") == F.col("n"))
-        .join(pages.select("page_id", fields.alias("text")), "page_id")
-        .filter(F.col("text").contains(F.col("flat")))
-    )
+    positions = postings if "positions" in postings.columns else build_positions(pages)
+    phrase_hits = match_phrases(positions, asked.filter(F.size("phrase") > 0), counts)
     met = (
         any_hits.select(*page, F.lit("any").alias("clause"))
         .unionByName(prefix_hits.select(*page, F.lit("prefix").alias("clause")))
@@ -249,30 +337,35 @@ def match_boolean(postings: DataFrame, pages: DataFrame, queries: DataFrame) ->
 
 def bm25(
     postings: DataFrame,
-    stats: DataFrame,
+    stats: DataFrame | None,
     queries: DataFrame,
     stats_scope: str = "global",
+    frequencies: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, kb_id, page_id, score)`` of all matching pages, by published BM25.
 
     Number of pages, mean length and document frequency come from all knowledge bases, or
-    with ``stats_scope="kb"`` from each one alone.
+    with ``stats_scope="kb"`` from each one alone. Stored ``term_frequencies`` and ``kb_sizes``
+    spare counting them; with sizes, ``stats`` may be None.
     """
     if stats_scope not in ("global", "kb"):
         raise ValueError(f"stats_scope must be 'global' or 'kb', got {stats_scope!r}")
     wanted = query_terms(queries).withColumnRenamed("kb_id", "in_kb")
-    counts = term_counts(postings, wanted)
+    counts = term_counts(postings, wanted, frequencies)
     if stats_scope == "global":
         wanted = wanted.join(counts.groupBy("term").agg(F.sum("n").alias("df")), "term")
         hits = term_hits(postings, wanted, counts)
     else:
         hits = term_hits(postings, wanted, counts).withColumn("df", F.col("kb_df"))
-    size = [F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len")]
+    sizes = kb_sizes(stats) if sizes is None else sizes
     if stats_scope == "global":
-        totals = stats.agg(*size)
-        n, mean = totals.select("n").scalar(), totals.select("mean_len").scalar()
+        totals = sizes.agg(F.sum("pages").alias("n"), F.sum("words").alias("words"))
+        n = totals.select("n").scalar()
+        mean = totals.select(F.col("words") / F.col("n")).scalar()
     else:
-        hits = hits.join(stats.groupBy("kb_id").agg(*size), "kb_id")
+        mean_len = (F.col("words") / F.col("pages")).alias("mean_len")
+        hits = hits.join(sizes.select("kb_id", F.col("pages").alias("n"), mean_len), "kb_id")
         n, mean = F.col("n"), F.col("mean_len")
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean)
@@ -310,14 +403,18 @@ def keyword_search(
     postings: DataFrame | None = None,
     stats: DataFrame | None = None,
     stats_scope: str = "global",
+    frequencies: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked pages per query; the score is ``1 - position / matches``.
 
-    Ranking works on ids; titles and contents are fetched for the ranked rows only.
+    Ranking works on ids; titles and contents are fetched for the ranked rows only. An index is
+    made for the queries unless ``postings`` and ``stats`` or ``sizes`` are given.
     """
-    if postings is None or stats is None:
+    if postings is None or (stats is None and sizes is None):
         postings, stats = search_index(pages, queries)
-    ranked = rank_matches(bm25(postings, stats, queries, stats_scope), k)
+        frequencies = sizes = None
+    ranked = rank_matches(bm25(postings, stats, queries, stats_scope, frequencies, sizes), k)
     shown = pages.select(
         "page_id",
         "content",

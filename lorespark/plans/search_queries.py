@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.operators.keyword import (
+    POSITION_FORMAT,
     bm25,
+    build_positions,
     build_postings,
     doc_stats,
+    kb_sizes,
     keyword_search,
     match_boolean,
     match_pages,
     refresh_postings,
+    refresh_statistics,
     search_index,
+    term_frequencies,
 )
 from lorespark.operators.ingest import chunk_contents
 from lorespark.operators.search import hybrid_search, normalize_scores, semantic_search
+from lorespark.functions.text import terms
 from lorespark.plans.fixtures import Model
 from lorespark.plans.registry import query, sql_terms, sql_tokens
 from lorespark.plans.vector_queries import hashed_sql
@@ -135,8 +141,68 @@ def keyword_boolean(m: Model) -> DataFrame:
     queries = kbs.select("kb_id", F.inline(rows)).withColumn(
         "query_id", F.concat_ws(":", "kb_id", "name")
     )
-    pages = m.pages()
-    return match_boolean(durable(build_postings(pages)), pages, queries)
+    return match_boolean(durable(build_positions(m.pages()), POSITION_FORMAT), None, queries)
+
+
+@query(
+    "postings_positions",
+    ["m_pages"],
+    f"""with words as (
+      select kb_id, page_id, {sql_terms('title')} as t, {sql_terms('content')} as c, {sql_terms('tag')} as g
+      from m_pages),
+    spot as (
+      select kb_id, page_id, len(t) + len(c) + len(g) as n, unnest(t) as term, unnest(range(len(t))) as place from words
+      union all
+      select kb_id, page_id, len(t) + len(c) + len(g), unnest(c), unnest(range(len(c))) + len(t) + 1 from words
+      union all
+      select kb_id, page_id, len(t) + len(c) + len(g), unnest(g), unnest(range(len(g))) + len(t) + len(c) + 2
+      from words)
+    select kb_id, page_id, term, count(*)::int as tf, any_value(n)::int as doc_len,
+      string_agg(place, ',' order by place) as positions
+    from spot group by kb_id, page_id, term""",
+)
+def postings_positions(m: Model) -> DataFrame:
+    places = F.concat_ws(",", F.col("positions").cast("array<string>"))
+    return build_positions(m.pages()).withColumn("positions", places)
+
+
+# Every page whose id is divisible by 100 asks for three words in a row from the middle of its text.
+PHRASE_SQL = f"""
+page as (select kb_id, page_id, {sql_terms('content')} as c from m_pages),
+asker as (
+  select 'f' || page_id as query_id, kb_id, array_to_string(c[len(c) // 2 : len(c) // 2 + 2], ' ') as phrase
+  from page where page_id::bigint % 100 = 0 and len(c) >= 4),
+flat as (
+  select kb_id, page_id, ' ' || array_to_string({sql_terms('title')}, ' ') || ' | ' ||
+    array_to_string({sql_terms('content')}, ' ') || ' | ' || array_to_string({sql_terms('tag')}, ' ') || ' ' as f
+  from m_pages)
+"""
+
+
+@query(
+    "keyword_phrase",
+    ["m_pages"],
+    f"""with {PHRASE_SQL}
+    select query_id, f.kb_id, page_id from asker a join flat f
+      on f.kb_id = a.kb_id and contains(f, ' ' || phrase || ' ')""",
+)
+def keyword_phrase(m: Model) -> DataFrame:
+    words = terms(F.col("content"))
+    none = F.lit(None)
+    queries = (
+        m.pages().filter(F.col("page_id").cast("long") % 100 == 0)
+        .select("kb_id", F.concat(F.lit("f"), "page_id").alias("query_id"), words.alias("w"))
+        .filter("size(w) >= 4")
+        .select(
+            "query_id",
+            "kb_id",
+            F.array_join(F.slice("w", F.floor(F.size("w") / 2).cast("int"), 3), " ").alias("phrase"),
+            none.cast("array<string>").alias("any"),
+            none.cast("array<string>").alias("none"),
+            none.cast("string").alias("prefix"),
+        )
+    )
+    return match_boolean(durable(build_positions(m.pages()), POSITION_FORMAT), None, queries)
 
 
 @query(
@@ -168,6 +234,33 @@ def bm25_rank_per_kb(m: Model) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+# The pages after a third of them was rewritten and another third deleted.
+REFRESHED_PAGES = """(
+  select * replace (case when page_id::bigint % 3 = 0 then 'rewritten ' || content || ' ' || content
+                    else content end as content)
+  from m_pages where page_id::bigint % 3 <> 2)"""
+
+
+@query(
+    "bm25_refreshed",
+    ["m_pages", "m_queries"],
+    f"""with {POSTINGS_SQL.replace('m_pages', REFRESHED_PAGES)}, {BM25_SQL}
+    select query_id, kb_id, page_id, round(score, 6) as score from scored""",
+)
+def bm25_refreshed(m: Model) -> DataFrame:
+    """Postings and statistics follow the change; only the pages it touches are read again."""
+    n = F.col("page_id").cast("long")
+    pages, deleted = m.pages(), m.pages().filter(n % 3 == 2)
+    old = pages.filter(n % 3 == 0)
+    new = old.withColumn("content", F.concat(F.lit("rewritten "), "content", F.lit(" "), "content"))
+    index = durable(build_postings(pages))
+    counted = durable(term_frequencies(index)), durable(kb_sizes(doc_stats(pages)))
+    frequencies, sizes = refresh_statistics(*counted, old.unionByName(deleted), new)
+    fresh = durable(refresh_postings(index, new, deleted))
+    found = bm25(fresh, None, m.queries(), frequencies=frequencies, sizes=durable(sizes))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "keyword_search",
     ["m_pages", "m_queries"],

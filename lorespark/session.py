@@ -40,12 +40,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """The same rows, written to a table in the scratch folder and read back from it.
 
+    ``options`` are those of the Parquet writer.
+
     Cuts lineage, survives the loss of executors, and later readers still prune columns and
     push filters.
     """
     path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,18 @@ from compare import plan
 import __spark_entry__ as entry
 from lorespark.operators.embedding import embed
 from lorespark.operators.ingest import chunk_contents
-from lorespark.operators.keyword import bm25, build_postings, doc_stats, keyword_search, query_terms, term_counts, term_hits
+from lorespark.operators.keyword import (
+    POSITION_FORMAT,
+    bm25,
+    build_positions,
+    build_postings,
+    doc_stats,
+    keyword_search,
+    match_phrases,
+    query_terms,
+    term_counts,
+    term_hits,
+)
 from lorespark.operators.search import semantic_search
 from lorespark.operators.vectors import vector_topk, where_equals
 from lorespark.plans.fixtures import Model
@@ -91,6 +102,17 @@ def test_terms_meet_postings_by_kb_and_term(no_small_tables):
     assert any("kb_id" in j and "term" in j for j in joins)
 
 
+def test_phrases_read_no_text(no_small_tables):
+    m = Model(no_small_tables, FOLDER)
+    stored = durable(build_positions(m.pages()), POSITION_FORMAT)
+    phrases = m.queries().selectExpr("query_id", "kb_id as in_kb", "split(text, ' ') as phrase")
+    counts = term_counts(stored, phrases.selectExpr("explode(phrase) as term"))
+    found = plan(match_phrases(stored, phrases, counts))
+    assert "positions" in found and "content" not in found
+    # ranking over the same table leaves the positions where they are
+    assert "positions" not in plan(bm25(stored, doc_stats(m.pages()), m.queries()))
+
+
 @pytest.mark.parametrize("heavy", [1, 7])
 def test_heavy_terms_are_cut_without_a_loss(spark, heavy):
     m = Model(spark, FOLDER)

@@ -3,17 +3,24 @@
 import json
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators.keyword import (
+    POSITION_FORMAT,
+    bm25,
+    build_positions,
     build_postings,
     doc_stats,
+    kb_sizes,
     keyword_search,
     match_boolean,
     match_pages,
     refresh_postings,
+    refresh_statistics,
     search_index,
+    term_frequencies,
 )
 from lorespark.operators.search import (
     hybrid_search,
@@ -33,6 +40,7 @@ from lorespark.operators.vectors import (
     where_equals,
 )
 from lorespark.schemas import QUERIES, VECTORS
+from lorespark.session import durable
 
 RESULTS = (
     "query_id string, kb_id string, rank int, content string, source_id string,"
@@ -247,6 +255,97 @@ def test_boolean_matching(spark):
     }
 
 
+def asked_phrases(spark, *phrases):
+    schema = (
+        "query_id string, kb_id string, any array<string>, none array<string>,"
+        " prefix string, phrase string"
+    )
+    return spark.createDataFrame([(p, "kb", None, None, None, p) for p in phrases], schema)
+
+
+def test_positions_count_through_the_fields_of_a_page(spark):
+    p = spark.createDataFrame(
+        [
+            ("p1", "kb", "Red fish", "blue fish, RED fish", "topic", ["red"]),
+            ("p2", "kb", "!", None, "topic", []),
+            ("p3", "kb", None, "a a a", "topic", None),
+        ],
+        PAGES,
+    )
+    got = {(r.page_id, r.term): (r.tf, r.doc_len, r.positions) for r in build_positions(p).collect()}
+    assert got == {
+        ("p1", "red"): (3, 7, [0, 5, 8]),
+        ("p1", "fish"): (3, 7, [1, 4, 6]),
+        ("p1", "blue"): (1, 7, [3]),
+        ("p3", "a"): (3, 3, [1, 2, 3]),
+    }
+    assert build_positions(p.limit(0)).count() == 0
+    plain = build_postings(p)
+    assert sorted(build_positions(p).select(plain.columns).collect()) == sorted(plain.collect())
+
+
+def test_phrases_by_positions(spark):
+    p = spark.createDataFrame(
+        [
+            ("p1", "kb", "one", "to be or not to be that is", "topic", []),
+            ("p2", "kb", "one two", "three be to be", "topic", []),
+            ("p3", "kb", "be", "to", "topic", ["be"]),
+            ("p4", "far", "to be", "to be or not to be", "topic", []),
+        ],
+        PAGES,
+    )
+    queries = asked_phrases(spark, "To be, or", "to be", "to be or not to be", "two three", "be be", "not here", "be")
+    expected = {
+        "To be, or": {"p1"}, "to be": {"p1", "p2"}, "to be or not to be": {"p1"}, "be": {"p1", "p2", "p3"},
+    }
+
+    def found(postings, pages):
+        got = {}
+        for r in match_boolean(postings, pages, queries).collect():
+            got.setdefault(r.query_id, set()).add(r.page_id)
+        return got
+
+    stored = durable(build_positions(p), POSITION_FORMAT)
+    assert found(stored, None) == expected == found(build_postings(p), p)
+    changed = p.filter("page_id = 'p1'").withColumn("content", F.lit("be to be"))
+    fresh = refresh_postings(stored, changed, p.filter("page_id = 'p3'"))
+    assert found(fresh, None) == {"to be": {"p1", "p2"}, "be": {"p1", "p2"}}
+
+
+def test_stored_positions_are_gaps(spark, tmp_path):
+    words = " ".join(f"w{i % 50}" for i in range(20_000))
+    p = spark.createDataFrame([("p1", "kb", "t", words, "topic", [])], PAGES)
+    build_positions(p).coalesce(1).write.options(**POSITION_FORMAT).parquet(str(tmp_path / "x"))
+    file = next((tmp_path / "x").glob("*.parquet"))
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = [group.column(i) for i in range(group.num_columns)]
+    kept = next(c for c in columns if c.path_in_schema.startswith("positions"))
+    assert "DELTA_BINARY_PACKED" in kept.encodings
+    assert kept.total_uncompressed_size < 20_000 * 2  # four bytes each without
+
+
+def test_statistics_follow_changes(spark):
+    p = pages(spark)
+    deleted = p.filter("page_id = 'p1'")
+    old = p.filter("page_id = 'p2'")
+    new = old.withColumn("content", F.lit("java python java"))
+    added = spark.createDataFrame([("p9", "new kb", "fresh", "java", "topic", [])], PAGES)
+    whole = p.filter("page_id not in ('p1', 'p2')").unionByName(new).unionByName(added)
+    counted = term_frequencies(build_postings(p)), kb_sizes(doc_stats(p))
+    frequencies, sizes = refresh_statistics(*counted, old.unionByName(deleted), new.unionByName(added))
+    want = term_frequencies(build_postings(whole)), kb_sizes(doc_stats(whole))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(frequencies) == rows(want[0]) and rows(sizes) == rows(want[1])
+    index = refresh_postings(build_postings(p), new.unionByName(added), deleted)
+    q = asked(spark, "java", "python", "rust")
+    for scope in ("global", "kb"):
+        fresh = bm25(index, None, q, scope, frequencies, sizes)
+        assert rows(fresh) == rows(bm25(build_postings(whole), doc_stats(whole), q, scope)) != []
+    # a kb that loses its last page loses its rows
+    none, empty = refresh_statistics(*counted, p, p.limit(0))
+    assert rows(none) == rows(empty) == []
+
+
 def results(spark, kind, *rows):
     return spark.createDataFrame(
         [("q", "kb", i + 1, c, s, kind, float(x), "{}") for i, (c, s, x) in enumerate(rows)], RESULTS
