@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ DISTANCE_PLACES = 10
 # Distance of a vector without direction (all zeros): sorts last and scores 0.
 NO_DIRECTION = 2.0
 
+# Rounds of the training of cells.
+CELL_ROUNDS = 40
+
 MATCHES = "query_id string, vec_id string, distance double"
 
 
@@ -272,71 +276,149 @@ def cosine_distance(a: Column, b: Column) -> Column:
     )
 
 
-def _margins(vectors: pd.Series, planes: int, seed: int) -> np.ndarray:
-    """Signed distances of vectors to random planes through the origin."""
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    return matrix @ np.random.default_rng(seed).normal(size=(matrix.shape[1], planes))
+@dataclass(frozen=True)
+class Cells:
+    """Trained cells: a vector lies where the product of its direction and ``centres``, plus ``lift``, is largest."""
 
+    centres: np.ndarray
+    lift: np.ndarray
+    probes: int
 
-def cell_of(planes: int, seed: int) -> Callable[[Column], Column]:
-    """Which of the ``2 ** planes`` cells between random planes a vector lies in."""
-    bits = 1 << np.arange(planes)
+    def scores(self, matrix: np.ndarray) -> np.ndarray:
+        if not self.centres.size:  # trained on nothing
+            return np.zeros((len(matrix), len(self.lift)))
+        return unit_rows(matrix)[0] @ self.centres.T + self.lift
 
-    def cell(vectors: pd.Series) -> pd.Series:
-        return pd.Series((_margins(vectors, planes, seed) > 0) @ bits)
+    def nearest(self, vectors: pd.Series, n: int) -> np.ndarray:
+        """The ``n`` best cells of each vector; a bounded block of scores at a time."""
+        found = np.empty((len(vectors), n), np.int32)
+        for start in range(0, len(vectors), 1024):
+            part = vectors.iloc[start : start + 1024].to_numpy()
+            scores = self.scores(np.stack(part).astype(np.float64))
+            found[start : start + 1024] = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        return found
 
-    return F.pandas_udf(cell, T.IntegerType())
 
+def _balanced_centres(units: np.ndarray, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means whose crowded centres lose pull while empty ones move.
 
-def cells_near(planes: int, seed: int, probes: int) -> Callable[[Column], Column]:
-    """The ``probes`` cells closest to a vector, its own first."""
-    corners = (np.arange(1 << planes)[:, None] >> np.arange(planes)) & 1
+    The round with the least sum of squared sizes, which is what probing a cell costs, stands.
+    """
+    random = np.random.default_rng(seed)
+    centres = units[random.choice(len(units), count, replace=False)]
+    lift, best = np.zeros(count), (np.inf, centres, np.zeros(count))
+    for turn in range(CELL_ROUNDS):
+        scores = units @ centres.T + lift
+        own = scores.argmax(1)
+        sizes = np.bincount(own, minlength=count)
+        cost = float((sizes.astype(np.float64) ** 2).sum())
+        if turn and cost < best[0]:
+            best = cost, centres, lift
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, units)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+        margin = np.diff(np.partition(scores, -2, axis=1)[:, -2:], axis=1).mean() if count > 1 else 0.0
+        lift = lift - 0.05 * margin * np.log((sizes + 1) / (sizes.mean() + 1))
+        empty = np.flatnonzero(sizes == 0)
+        centres[empty] = units[random.choice(len(units), len(empty))]
+        lift[empty] = lift.mean()
+    return best[1], best[2]
+
+
+def train_cells(
+    vectors: DataFrame,
+    k: int = TOP_K,
+    recall: float = 0.95,
+    scoped: bool = True,
+    most_cells: int = 1024,
+    sample: int = 16_384,
+    seed: int = 7,
+) -> Cells:
+    """Cells for ``vector_topk_ann``, as many as the root of the number of vectors, at most ``most_cells``.
 
-    def near(vectors: pd.Series) -> pd.Series:
-        margins = _margins(vectors, planes, seed)
-        cost = np.abs(margins) @ corners.T  # price of flipping a set of sides
-        own = (margins > 0) @ (1 << np.arange(planes))
-        flips = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(flips ^ own[:, None]))
+    Learned on some ``sample`` vectors (all, if there are fewer), picked by a hash of their id.
+    Probes are as many as the sample's own neighbours (those of the same kb, if ``scoped``) need
+    to be found with probability ``recall``; the sample is thinner than the table, so neighbours
+    in the table lie closer. Train on the filtered vectors where a filter is rare.
+    """
+    total = vectors.count()
+    share = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    held = (
+        vectors.filter(share & F.col("embedding").isNotNull()).select("vec_id", "kb_id", "embedding")
+        .limit(2 * sample).toArrow().combine_chunks().sort_by([("vec_id", "ascending")])
+    )
+    if not held.num_rows:
+        return Cells(np.zeros((1, 0)), np.zeros(1), 1)
+    units = unit_rows(_matrix(held["embedding"].combine_chunks()))[0]
+    count = int(np.clip(np.sqrt(total), 1, min(most_cells, len(units))))
+    centres, lift = _balanced_centres(units, count, seed)
+    scores = units @ centres.T + lift
+    own = scores.argmax(1)
+    asked = np.random.default_rng(seed).permutation(len(units))[:256]
+    likeness = units[asked] @ units.T
+    likeness[np.arange(len(asked)), asked] = -np.inf
+    if scoped:
+        kbs = held["kb_id"].to_numpy(zero_copy_only=False)
+        likeness[kbs[asked][:, None] != kbs[None, :]] = -np.inf
+    near = np.argsort(-likeness, axis=1, kind="stable")[:, :k]
+    there = np.isfinite(np.take_along_axis(likeness, near, 1))
+    places = np.argsort(np.argsort(-scores[asked], axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(places, own[near], 1)[there]) + 1
+    probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else count
+    return Cells(centres, lift, probes)
+
+
+def assign_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """Vectors with their ``cell``; a table partitioned by it is read only where probed."""
 
-    return F.pandas_udf(near, T.ArrayType(T.IntegerType()))
+    def cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series(cells.nearest(vectors, 1)[:, 0])
 
+    return vectors.withColumn("cell", F.pandas_udf(cell, T.IntegerType())("embedding"))
 
-def assign_cells(vectors: DataFrame, planes: int = 4, seed: int = 7) -> DataFrame:
-    """Vectors with their ``cell``; a table partitioned by it is read only where probed."""
-    return vectors.withColumn("cell", cell_of(planes, seed)("embedding"))
+
+def probed_cells(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """A row for each ``cell`` that a query looks into."""
+
+    def near(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(cells.nearest(vectors, probes)))
+
+    found = F.pandas_udf(near, T.ArrayType(T.IntegerType()))("embedding")
+    return queries.withColumn("cell", F.explode(found))
 
 
 def vector_topk_ann(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
-    planes: int = 4,
-    probes: int = 4,
-    seed: int = 7,
+    cells: Cells | None = None,
+    probes: int | None = None,
+    where: Mapping[str, object] | None = None,
+    scoped: bool = True,
     resident_queries: int = 4096,
     tile: int = 8192,
 ) -> DataFrame:
     """Approximate neighbours: exact ranking, but only in the cells nearest to each query.
 
-    ``vectors`` may carry ``cell`` from ``assign_cells`` (same ``planes`` and ``seed``). A
-    vector lies in one cell, so no pair is met twice, and a crowded cell is split into tiles
-    like a crowded kb. Recall against ``vector_topk`` is reported by ``ann_recall``.
+    ``vectors`` may carry ``cell`` from ``assign_cells`` with the same ``cells``; without cells
+    they are trained on the vectors that satisfy ``where``. A vector lies in one cell, so no pair
+    is met twice, and a crowded cell is split into tiles like a crowded kb. Recall against
+    ``vector_topk`` is reported by ``ann_recall``; probing every cell gives its exact answer.
     """
+    vectors = where_equals(vectors, where)
+    if cells is None:
+        cells, vectors = train_cells(vectors, k, scoped=scoped), vectors.drop("cell")
     if "cell" not in vectors.columns:
-        vectors = assign_cells(vectors, planes, seed)
-
-    def place(cell: str) -> Column:
-        return F.concat_ws("|", "kb_id", F.col(cell).cast("string")).alias("kb_id")
-
-    v = vectors.select(place("cell"), "vec_id", "embedding")
-    q = queries.select(
-        "query_id",
-        "kb_id",
-        "embedding",
-        F.explode(cells_near(planes, seed, probes)("embedding")).alias("cell"),
-    ).select("query_id", place("cell"), "embedding")
-    return _ranked(v, q, k, resident_queries, tile)
+        vectors = assign_cells(vectors, cells)
+    probes = min(probes or cells.probes, len(cells.lift))
+    kb = F.col("kb_id") if scoped else F.lit("")
+    place = F.concat_ws("|", kb, F.col("cell").cast("string")).alias("kb_id")
+    q = probed_cells(queries.select("query_id", "kb_id", "embedding"), cells, probes)
+    return _ranked(
+        vectors.select(place, "vec_id", "embedding"), q.select("query_id", place, "embedding"),
+        k, resident_queries, tile,
+    )
 
 
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

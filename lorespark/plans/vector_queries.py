@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lorespark.operators.embedding import check_dimension, embed
 from lorespark.operators.vectors import (
     ann_recall,
+    assign_cells,
     count_vectors,
     delete_by_ids,
     get_by_ids,
+    train_cells,
     upsert_vectors,
     vector_topk,
     vector_topk_ann,
@@ -73,6 +75,34 @@ def vector_ann_recall(m: Model) -> DataFrame:
     return ann_recall(exact, vector_topk_ann(m.vectors(), m.vector_queries(), K))
 
 
+@query(
+    "vector_ann_reached",
+    ["m_vectors", "m_vector_queries"],
+    "select kb_id, count(*) as queries, true as reached from m_vector_queries group by kb_id",
+)
+def vector_ann_reached(m: Model) -> DataFrame:
+    """Whether the probed cells hold nine in ten of each kb's exact neighbours."""
+    found = vector_ann_recall(m).join(m.vector_queries().select("query_id", "kb_id"), "query_id")
+    return found.groupBy("kb_id").agg(
+        F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached")
+    )
+
+
+@query(
+    "vector_ann",
+    ["m_vectors", "m_vector_queries"],
+    _topk_sql("v.shelf = 's1'"),
+)
+def vector_ann(m: Model) -> DataFrame:
+    """Filtered and over all kbs; with every cell probed the answer is the exact one."""
+    vectors = m.vectors()
+    cells = train_cells(vectors, K, scoped=False)
+    found = vector_topk_ann(
+        assign_cells(vectors, cells), m.vector_queries(), K, cells, len(cells.lift), {"shelf": "s1"}, scoped=False
+    )
+    return _shown(found)
+
+
 @query(
     "vector_where",
     ["m_vectors"],

@@ -31,14 +31,17 @@ from lorespark.operators.search import (
 )
 from lorespark.operators.vectors import (
     ann_recall,
+    assign_cells,
     cosine_distance,
     count_vectors,
     get_by_ids,
+    train_cells,
     upsert_vectors,
     vector_topk,
     vector_topk_ann,
     where_equals,
 )
+from lorespark.plans.fixtures import Model
 from lorespark.schemas import QUERIES, VECTORS
 from lorespark.session import durable
 
@@ -160,11 +163,48 @@ def test_approximate_neighbours_recall(spark, resident):
     vectors = skewed_vectors(spark, 200)
     queries = vectors.filter("vec_id like '%3'").select(F.col("vec_id").alias("query_id"), "kb_id", "embedding")
     exact = vector_topk(vectors, queries, 3)
-    options = {"planes": 3, "resident_queries": resident, "tile": 16}
-    some = vector_topk_ann(vectors, queries, 3, probes=4, **options)
-    assert ann_recall(exact, some).agg(F.avg("recall")).first()[0] > 0.7
-    every = vector_topk_ann(vectors, queries, 3, probes=8, **options)
+    options = {"resident_queries": resident, "tile": 16}
+    some = vector_topk_ann(vectors, queries, 3, **options)
+    assert ann_recall(exact, some).agg(F.avg("recall")).first()[0] >= 0.9
+    cells = train_cells(vectors, 3)
+    laid = assign_cells(vectors, cells)
+    assert 1 < len(cells.lift) <= 15 and laid.select("cell").distinct().count() > 1
+    every = vector_topk_ann(laid, queries, 3, cells, probes=len(cells.lift), **options)
     assert ranked(every) == ranked(exact)
+    # with a filter, in all kbs
+    where = {"shelf": "1"}
+    wide = vector_topk_ann(laid, queries, 3, cells, len(cells.lift), where, scoped=False, **options)
+    assert ranked(wide) == ranked(vector_topk(vectors, queries, 3, where, scoped=False))
+
+
+def test_approximate_neighbours_of_nothing(spark):
+    none = skewed_vectors(spark, 3).limit(0)
+    some = skewed_vectors(spark, 3).select(F.col("vec_id").alias("query_id"), "kb_id", "embedding")
+    assert vector_topk_ann(none, some, 3).count() == 0
+    assert vector_topk_ann(skewed_vectors(spark, 3), some.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+@pytest.mark.parametrize("scoped", [True, False])
+def test_recall_of_trained_cells_on_the_table(spark, size, scoped):
+    m = Model(spark, f"/root/testdata/sf{size}")
+    exact = vector_topk(m.vectors(), m.vector_queries(), 5, scoped=scoped)
+    cells = train_cells(m.vectors(), 5, scoped=scoped)
+    some = vector_topk_ann(m.vectors(), m.vector_queries(), 5, cells, scoped=scoped)
+    recall = ann_recall(exact, some).agg(F.avg("recall")).first()[0]
+    print(size, scoped, "recall", recall, "probes", cells.probes, "of", len(cells.lift))
+    assert recall >= 0.9
+
+
+def test_cells_of_crowded_vectors_are_balanced(spark):
+    random = np.random.default_rng(1)
+    spread = random.normal(size=(300, 8))
+    crowd = np.array([4.0] + [0.0] * 7) + 0.3 * random.normal(size=(700, 8))
+    rows = [(f"v{i}", "kb", [float(x) for x in v], "", {}) for i, v in enumerate(np.concatenate([spread, crowd]))]
+    vectors = spark.createDataFrame(rows, VECTORS)
+    cells = train_cells(vectors, 3)
+    sizes = [r["count"] for r in assign_cells(vectors, cells).groupBy("cell").count().collect()]
+    assert len(cells.lift) == 31 and max(sizes) <= 2.5 * 1000 / 31
 
 
 def pages(spark):
