@@ -42,16 +42,29 @@ def learn_rotation(sample: np.ndarray, seed: int) -> np.ndarray:
     return axes @ rotation
 
 
+def plain_tables(bits: int, threshold: float, recall: float) -> tuple[int, int]:
+    """Bits a substring and tables of random planes in which pairs at ``threshold`` meet with ``recall``."""
+    kept = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    while True:
+        apart = 1 - kept**bits
+        tables = int(np.ceil(np.log(1 - recall) / np.log(apart))) if 0 < apart < 1 else 1
+        if tables <= MOST_TABLES or bits == 1:
+            return bits, tables
+        bits -= 1
+
+
 class Codes:
     """Tables of ``bits``-bit substrings over learnt directions.
 
     Tables are added until sample vectors and copies turned to just ``threshold`` from them meet
-    in one with probability ``recall``. Vectors of a width other than the sample's get unlearnt
-    rotations of their own and as many tables.
+    in one with probability ``recall``. Vectors of a width other than the sample's get planes of
+    their own that nothing is learned for: whatever the vectors, such a plane parts a pair with the
+    share its angle has in a half turn, and this says how many tables the same ``recall`` takes.
     """
 
     def __init__(self, sample: np.ndarray, bits: int, threshold: float, recall: float, seed: int = 7):
         self.bits, self.seed, self.width = bits, seed, sample.shape[1]
+        self.plain_bits, self.plain_tables = plain_tables(bits, threshold, recall)
         unit = units(sample)
         aside = np.random.default_rng(seed).standard_normal(unit.shape)
         aside -= (aside * unit).sum(1, keepdims=True) * unit
@@ -84,13 +97,14 @@ class Codes:
 
     def values(self, unit: np.ndarray) -> np.ndarray:
         """The substring of each table, a column each."""
-        width = unit.shape[1]
+        width, bits, tables = unit.shape[1], self.bits, self.tables
         if width == self.width:
             signs = (unit - self.mean) @ self.directions >= 0
         else:
+            bits, tables = self.plain_bits, self.plain_tables
             random = np.random.default_rng([self.seed, width])
-            signs = unit @ random.standard_normal((width, self.tables * self.bits)) >= 0
-        return signs.reshape(len(unit), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+            signs = unit @ random.standard_normal((width, tables * bits)) >= 0
+        return signs.reshape(len(unit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,17 +128,15 @@ def by_width(vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, units(np.stack(vectors.iloc[at].to_numpy()).astype(np.float64))
 
 
-def table_keys(batches: Iterator[pd.DataFrame], codes: Codes) -> Iterator[pd.DataFrame]:
-    """``cls, label, width, place, value``: each vector once for each table."""
+def code_rows(batches: Iterator[pd.DataFrame], codes: Codes) -> Iterator[pd.DataFrame]:
+    """``cls, label, width, codes``: the substrings of each vector, one for each table."""
     for batch in batches:
         for at, unit in by_width(batch["embedding"]):
-            values = codes.values(unit)
             yield pd.DataFrame({
-                "cls": np.repeat(batch["cls"].to_numpy()[at], codes.tables),
-                "label": np.repeat(batch["label"].to_numpy()[at], codes.tables),
+                "cls": batch["cls"].to_numpy()[at],
+                "label": batch["label"].to_numpy()[at],
                 "width": unit.shape[1],
-                "place": np.tile(np.arange(codes.tables, dtype=np.int32), len(at)),
-                "value": values.ravel(),
+                "codes": list(codes.values(unit)),
             })
 
 
@@ -152,7 +164,7 @@ def tile_links(rows: pd.DataFrame, unit: np.ndarray, values: np.ndarray, thresho
     return pd.DataFrame({"cls": ids[met], "links": links[met], "root": ids[root[met]]})
 
 
-def compare_tiles(batches: Iterator[pd.DataFrame], codes: Codes, threshold: float) -> Iterator[pd.DataFrame]:
+def compare_tiles(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Batches sorted by tile to the links of each tile; a tile may lie across batches."""
     keys = ["label", "width", "place", "value", "low", "high"]
 
@@ -160,14 +172,13 @@ def compare_tiles(batches: Iterator[pd.DataFrame], codes: Codes, threshold: floa
         cuts = np.flatnonzero((rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(1)) + 1
         edges = [0, *cuts.tolist(), len(rows)]
         unit = np.empty(len(rows), object)
-        values = np.empty((len(rows), codes.tables), np.int64)
         for at, part in by_width(rows["embedding"]):
-            values[at] = codes.values(part)
             for k, row in zip(at, part):
                 unit[k] = row
         for start, end in zip(edges, edges[1:]):
             if end - start > 1:
-                found = tile_links(rows.iloc[start:end], np.stack(unit[start:end]), values[start:end], threshold)
+                values = np.stack(rows["codes"].iloc[start:end].to_numpy())
+                found = tile_links(rows.iloc[start:end], np.stack(unit[start:end]), values, threshold)
                 if found is not None:
                     yield found
 
@@ -231,22 +242,25 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, recall: float =
     codes = Codes(np.array([r["embedding"] for r in sample], np.float64), bits, threshold, recall)
 
     table = ["label", "width", "place", "value"]
-    keyed = durable(classes.select("cls", "label", "embedding").mapInPandas(
-        lambda batches: table_keys(batches, codes), "cls long, label string, width int, place int, value long"
+    # The substrings travel with the vectors: made again from another block, a sign within the
+    # rounding could differ, and a pair would count twice or not at all.
+    coded = durable(classes.select("cls", "label", "embedding").mapInPandas(
+        lambda batches: code_rows(batches, codes), "cls long, label string, width int, codes array<long>"
     ))
+    keyed = coded.select("cls", "label", "width", F.posexplode("codes").alias("place", "value"))
     met = keyed.groupBy(*table).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     tiles = (
         keyed.join(met, table)
         .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-        .join(classes.select("cls", "embedding", "copies"), "cls")
+        .join(classes.select("cls", "embedding", "copies"), "cls").join(coded.select("cls", "codes"), "cls")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        .select(*table, "low", "high", "block", "cls", "copies", "embedding")
+        .select(*table, "low", "high", "block", "cls", "copies", "codes", "embedding")
         .repartition(*table, "low", "high").sortWithinPartitions(*table, "low", "high")
     )
     found = durable(tiles.mapInPandas(
-        lambda batches: compare_tiles(batches, codes, threshold), "cls long, links long, root long"
+        lambda batches: compare_tiles(batches, threshold), "cls long, links long, root long"
     ))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found, "cls", "root").withColumnRenamed("node", "cls")

@@ -83,3 +83,41 @@ def test_substrings_are_shortened_until_the_recall_is_met():
     aside = embedding_dups.units(aside - (aside * one).sum(1, keepdims=True) * one)
     two = 0.9 * one + np.sqrt(1 - 0.81) * aside
     assert (codes.values(one) == codes.values(two)).any(1).mean() >= 0.995
+
+
+def planted(random, n, width, cosine, centre):
+    """Pairs of vectors at ``cosine`` whose first lie around ``centre``."""
+    one = centre + random.standard_normal((n, width))
+    unit = embedding_dups.units(one)
+    aside = random.standard_normal((n, width))
+    aside = embedding_dups.units(aside - (aside * unit).sum(1, keepdims=True) * unit)
+    return unit, cosine * unit + np.sqrt(1 - cosine**2) * aside
+
+
+def test_pairs_at_the_threshold_are_found_in_every_width(spark):
+    random = np.random.default_rng(11)
+    crowd = 3 * np.ones(64) + random.standard_normal((1500, 64))
+    rows = [(i, v.tolist(), 0, "") for i, v in enumerate(crowd)]
+    for width, label in [(48, 0), (48, 1), (24, 0), (64, 1)]:
+        for cosine in (0.981, 0.985, 0.99):
+            for centre in (0.0, 0.5):
+                for a, b in zip(*planted(random, 50, width, cosine, centre)):
+                    rows += [(len(rows), a.tolist(), label, ""), (len(rows) + 1, b.tolist(), label, "")]
+    expected = brute_blocks(rows)
+    got = {r.vec_id: r.n_links for r in embedding_links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for width, label in [(48, 0), (48, 1), (24, 0), (64, 1)]:
+        ids = [r[0] for r in rows if len(r[1]) == width and r[2] == label]
+        wanted = sum(expected[i] for i in ids)
+        assert wanted >= 590 and 0.95 * wanted <= sum(got[i] for i in ids) <= wanted
+
+
+def brute_blocks(rows, threshold=0.98):
+    """The number of links of each row, a block of equal label and width at a time."""
+    links, blocks = {}, {}
+    for r in rows:
+        blocks.setdefault((r[2], len(r[1])), []).append(r)
+    for block in blocks.values():
+        unit = embedding_dups.units(np.array([r[1] for r in block], np.float32).astype(float))
+        near = (unit @ unit.T >= threshold).sum(1) - 1
+        links |= {r[0]: int(n) for r, n in zip(block, near)}
+    return links
