@@ -51,6 +51,11 @@ def sample_texts(docs: DataFrame, labels: DataFrame, per_class: int, most_chars:
     return [pair for pairs in found.values() for pair in pairs[:per_class]]
 
 
+def zero_or_one(labels: DataFrame) -> DataFrame:
+    """The rows that say 0 or 1; any other label says nothing."""
+    return labels.filter(F.col("label").isin(0, 1))
+
+
 def label_odds(labels: DataFrame) -> float:
     """How many rows of label 1 there are for each of label 0; 1 if either is missing."""
     one, zero = labels.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()

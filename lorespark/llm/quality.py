@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lorespark.llm.gru import Adam, Params, sigmoid, small
-from lorespark.llm.labelled import label_odds, remainder, sample_texts
+from lorespark.llm.labelled import label_odds, remainder, sample_texts, zero_or_one
 
 PASSAGE = 512
 CLASSES = 40
@@ -177,9 +177,10 @@ def score_quality(docs: DataFrame, training: DataFrame, labels: DataFrame, per_c
     """``docs`` with ``score`` (0 to 1), learned from ``training(doc_id, text)`` and ``labels(doc_id, label)``.
 
     Up to ``per_class`` texts of each label are learned from. A null text scores like an empty
-    one, as a single empty passage; if no label is known, every text scores 0. A column ``score``
-    is replaced.
+    one, as a single empty passage; if no label is known, every text scores 0. A label
+    other than 0 and 1 counts as unknown. A column ``score`` is replaced.
     """
+    labels = zero_or_one(labels)
     p = train(sample_texts(training, labels, per_class, MOST_CHARS), label_odds(labels))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lorespark.llm.gru import Adam, Params, both, both_back, sigmoid, small
-from lorespark.llm.labelled import label_odds, remainder, sample_texts
+from lorespark.llm.labelled import label_odds, remainder, sample_texts, zero_or_one
 
 WORDS = re.compile(r"\w+")
 WORD_DIMS = CHAR_DIMS = 8
@@ -270,8 +270,10 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, per_
     """``docs`` with ``score`` (0 to 1), learned from ``training(doc_id, text)`` and ``labels(doc_id, label)``.
 
     Up to ``per_class`` texts of each label are learned from. Null texts and texts without words
-    score 0, and so does every text if no label is known. A column ``score`` is replaced.
+    score 0, and so does every text if no label is known. A label other than 0 and 1 counts as
+    unknown. A column ``score`` is replaced.
     """
+    labels = zero_or_one(labels)
     vocabulary, p = train(sample_texts(training, labels, per_class, MOST_CHARS), label_odds(labels))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

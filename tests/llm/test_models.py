@@ -77,6 +77,17 @@ def test_odd_rows_and_labels(spark, score, label):
     assert all(r.score > 0.99 for r in one_class)
 
 
+@pytest.mark.parametrize("score", [toxicity.score_toxicity, quality.score_quality])
+def test_labels_other_than_zero_and_one_are_unknown(spark, score):
+    docs = tables(spark)[0].limit(40)
+    rows = docs.select("doc_id").collect()
+    known = spark.createDataFrame([(r.doc_id, i % 2) for i, r in enumerate(rows[:20])], "doc_id long, label int")
+    odd = spark.createDataFrame([(r.doc_id, (-1, 2, 7, None)[i % 4]) for i, r in enumerate(rows[20:])], known.schema)
+    shown = lambda labels: sorted((r.doc_id, r.score) for r in score(docs, docs, labels).collect())
+    assert shown(known.unionByName(odd)) == shown(known)
+    assert max(x for _, x in shown(odd)) < 1e-6
+
+
 def test_toxic_rows_go(spark):
     docs, labels = tables(spark)
     left = toxicity.drop_toxic(docs, docs, labels)
