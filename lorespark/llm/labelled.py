@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARES = 16
+CLASS_BYTES = 1 << 24
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
@@ -13,42 +14,48 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int) -> list[tuple[str, object]]:
-    """Up to ``per_class`` texts of each class of ``labels(doc_id, label)``, as ``(text, label)``.
+def least(rows: DataFrame, per_class: int, *key: str) -> DataFrame:
+    """The ``per_class`` distinct rows of each ``_label`` with the least hash of ``key``, and ``_rank``.
 
-    The rows with the least hash of their id are taken, so a rerun takes the same. They are found
-    in shares of each class first, so that one task ranks ``SHARES * per_class`` rows at most,
-    however many partitions the tables have. Null labels and
-    texts are left out. Of a text longer than ``most_chars``, that many characters are taken in
-    eight stretches spread over all of it; this bounds what the driver holds and touches training
-    only. The sample's size does not grow with the tables.
+    They are found in shares of each class first, so that one task ranks ``SHARES * per_class``
+    rows at most, however many partitions the tables have.
     """
-    order = (F.xxhash64("_id"), "_id")
-    share = F.pmod(F.xxhash64("_id"), F.lit(SHARES))
+    order = (F.xxhash64(*key), *key)
+    share = F.pmod(F.xxhash64(*key), F.lit(SHARES))
     in_share, rank = Window.partitionBy("_label", share).orderBy(*order), Window.partitionBy("_label").orderBy(*order)
-    chosen = (
-        labels.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
-        .filter("_label is not null and _id is not null")
+    return (
+        rows.distinct()
         .withColumn("_rank", F.row_number().over(in_share)).filter(F.col("_rank") <= per_class)
-        .withColumn("_rank", F.row_number().over(rank))
-        .filter(F.col("_rank") <= per_class)
-        .select("_id", "_label")
+        .withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= per_class)
     )
-    stretch = most_chars // 8
-    spread = F.concat_ws(" ", *(
-        F.substring("text", F.floor((F.length("text") - stretch) * i / 7).cast("int") + 1, F.lit(stretch)) for i in range(8)
-    ))
-    rows = (
+
+
+def sample_texts(
+    docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int = CLASS_BYTES
+) -> list[tuple[str, object]]:
+    """Up to ``per_class`` whole texts of each class of ``labels(doc_id, label)``, as ``(text, label)``.
+
+    Ids with the least hash are taken, of their distinct texts again those with the least hash, and
+    of these as many as make up ``most_bytes`` of UTF-8 in a class; a rerun takes the same. A text
+    longer than that alone, null labels and null texts are not learned from. At most
+    ``per_class`` rows of a class, ``most_bytes`` together, reach the driver, also where one id
+    has very many rows. The sample's size does not grow with the tables.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
+    ids = least(known.filter("_label is not null and _id is not null"), per_class, "_id").drop("_rank")
+    texts = (
         docs.select(F.col("doc_id").alias("_id"), "text").filter("text is not null")
-        .join(F.broadcast(chosen), "_id")
-        .select("_id", F.when(F.length("text") > most_chars, spread).otherwise(F.col("text")).alias("text"), "_label")
-        .collect()
+        .join(F.broadcast(ids), "_id").withColumn("_hash", F.xxhash64("text"))
+    )
+    sizes = texts.select("_id", "_label", "_hash", F.octet_length("text").alias("_bytes"))
+    so_far = Window.partitionBy("_label").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = (
+        least(sizes.filter(F.col("_bytes") <= most_bytes), per_class, "_id", "_hash")
+        .withColumn("_sum", F.sum("_bytes").over(so_far)).filter(F.col("_sum") <= most_bytes)
+        .select("_id", "_label", "_hash")
     )
-    # Repeated ids may bring more rows than were asked for.
-    found: dict[object, list[tuple[str, object]]] = {}
-    for row in sorted(rows, key=lambda r: (str(r["_label"]), r["_id"], r["text"])):
-        found.setdefault(row["_label"], []).append((row["text"], row["_label"]))
-    return [pair for pairs in found.values() for pair in pairs[:per_class]]
+    rows = texts.join(F.broadcast(chosen), ["_id", "_label", "_hash"]).select("_id", "_label", "text").distinct().collect()
+    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (str(r["_label"]), r["_id"], r["text"]))]
 
 
 def zero_or_one(labels: DataFrame) -> DataFrame:

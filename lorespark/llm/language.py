@@ -25,7 +25,6 @@ ROWS = 2048
 STEPS = 160
 TRAIN_WINDOW = 64
 PER_LANGUAGE = 300
-MOST_CHARS = 4096
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -65,19 +64,20 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     }
     if len(names) < 2:
         return names, p
-    windows, masks, owners = [], [], []
-    for text, language in samples:
-        symbols, mask = cut(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), TRAIN_WINDOW)
-        keep = np.linspace(0, symbols.shape[1] - 1, min(16, symbols.shape[1])).astype(int)
-        windows.append(symbols[:, keep]), masks.append(mask[:, keep])
-        owners += [names.index(language)] * len(keep)
-    symbols, mask, owner = np.hstack(windows), np.hstack(masks), np.array(owners)
+    texts = [(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), names.index(language)) for text, language in samples]
+    flat, owner = np.concatenate([*(data for data, _ in texts), np.zeros(1, np.uint8)]), np.array([c for _, c in texts])
+    ends = np.cumsum([len(data) for data, _ in texts])
+    begins = ends - [len(data) for data, _ in texts]
+    counts = np.maximum(1, -(-(ends - begins) // TRAIN_WINDOW))
     by_class = [np.flatnonzero(owner == c) for c in range(len(names))]
     adam, rows = Adam(p, 0.02), 192
     for step in range(steps):
+        # Texts alike, of each any of its windows alike.
         pick = np.concatenate([rng.choice(c, -(-rows // len(names))) for c in by_class])
+        place = begins[pick] + TRAIN_WINDOW * rng.integers(0, counts[pick]) + np.arange(TRAIN_WINDOW)[:, None]
+        there = place < ends[pick]
+        here = np.where(there, flat[np.minimum(place, len(flat) - 1)], 0)
         tape: dict = {}
-        here, there = symbols[:, pick], mask[:, pick]
         grad = position_probabilities(p, here, there, tape)
         grad[:, owner[pick], np.arange(len(pick))] -= 1
         grad *= (there / np.float32(max(1, there.sum())))[:, None]
@@ -129,12 +129,13 @@ def document_probabilities(p: Params, texts: list[str]) -> np.ndarray:
 def identify(docs: DataFrame, training: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``docs`` with ``lang_pred, score``, learned from ``training(doc_id, text, lang)``.
 
-    Up to ``per_language`` texts of each language are learned from; every byte of every text is
+    Up to ``per_language`` texts of each language are learned from, any window of them
+    (``sample_texts`` bounds their bytes); every byte of every text is
     scored. A text that is null or has no letter is ``und`` with score 0, and so is every text if
     no row of ``training`` has a language. Columns of these two names are replaced.
     """
     labels = training.select("doc_id", F.col("lang").alias("label"))
-    names, p = train(sample_texts(training, labels, per_language, MOST_CHARS))
+    names, p = train(sample_texts(training, labels, per_language))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -35,10 +35,8 @@ BLOCK_WORDS = 1 << 15
 GRAM_WORDS = 1 << 12
 TEXTS = 512
 STEPS = 160
-BAG = 12
 PICKED = 20
 PER_CLASS = 1000
-MOST_CHARS = 16_384
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +89,41 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
+def window_blocks(lines: list[np.ndarray], blank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of all ``lines`` of word numbers, ``ROWS`` at a time: the line of each, and its
+    words ``(T, B)``, filled up with ``blank``."""
+    lengths = np.array([len(line) for line in lines])
+    flat = np.concatenate([*lines, np.full(WINDOW, blank)])
+    offsets = np.cumsum(lengths) - lengths
+    starts = [windows(n) for n in lengths]
+    counts = [len(s) for s in starts]
+    owner = np.repeat(np.arange(len(lines)), counts)
+    begin = np.concatenate(starts) + np.repeat(offsets, counts)
+    end = np.repeat(offsets + lengths, counts)
+    # Windows alike in length run together, so that no step is spent on padding.
+    order = np.argsort(np.minimum(end - begin, WINDOW), kind="stable")
+    for at in range(0, len(order), ROWS):
+        some = order[at : at + ROWS]
+        steps = int(min(WINDOW, (end[some] - begin[some]).max()))
+        place = begin[some] + np.arange(steps)[:, None]
+        yield owner[some], np.where(place < end[some], flat[np.minimum(place, len(flat) - 1)], blank)
+
+
+def worst_windows(p: Params, inputs: np.ndarray, lines: list[np.ndarray]) -> np.ndarray:
+    """The words ``(WINDOW, lines)`` of the window of each line that scores highest."""
+    blank = len(inputs) - 1
+    best, top = np.full(len(lines), -np.inf), np.full((WINDOW, len(lines)), blank)
+    for owner, index in window_blocks(lines, blank):
+        scores = score_windows(p, inputs, index)
+        order = np.lexsort((-scores, owner))
+        first = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+        first = first[scores[first] > best[owner[first]]]
+        best[owner[first]] = scores[first]
+        top[:, owner[first]] = blank
+        top[: len(index), owner[first]] = index[:, first]
+    return top
+
+
 def score_windows(p: Params, inputs: np.ndarray, index: np.ndarray, tape: dict | None = None) -> np.ndarray:
     """A score per window; ``index (T, B)`` points into ``inputs``, whose last row is no word."""
     mask = (index < len(inputs) - 1).astype(np.float32)
@@ -138,21 +171,26 @@ def train(
 ) -> tuple[dict[str, int], Params]:
     """Vocabulary and weights from ``(text, label)``; labels are of documents, windows have none.
 
-    In each step the worst window of each document stands for it. The first entry of a word's
+    In each step the worst of all windows of each document stands for it. The first entry of a word's
     embedding starts from how much oftener it is met in documents of label 1, smoothed. Steps see
     as many documents of either label; afterwards the bias moves by the log of the true ``odds``.
     """
     rng = np.random.default_rng(seed)
-    bags = [(WORDS.findall(text.lower()), int(label)) for text, label in samples]
-    bags = [(words, label) for words, label in bags if words]
-    met: dict[str, list[int]] = {}
-    met_grams = np.zeros((CHAR_ROWS, 2))
-    for words, label in bags:
-        for word in set(words):
-            met.setdefault(word, [0, 0])[label] += 1
-        met_grams[np.unique(grams(sorted(set(words)))[1]), label] += 1
+    numbers: dict[str, int] = {}
+    bags: list[tuple[np.ndarray, int]] = []
+    for text, label in samples:
+        found = (numbers.setdefault(m.group(), len(numbers)) for m in WORDS.finditer(text.lower()))
+        line = np.fromiter(found, np.int32)
+        if len(line):
+            bags.append((line, int(label)))
+    names = list(numbers)
+    met, met_grams = np.zeros((len(names), 2)), np.zeros((CHAR_ROWS, 2))
+    for line, label in bags:
+        own_words = np.unique(line)
+        met[own_words, label] += 1
+        met_grams[np.unique(grams([names[i] for i in own_words])[1]), label] += 1
     sizes = np.bincount([label for _, label in bags], minlength=2)
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in met.items() if sum(n) >= LEAST_MET))}
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(names[i] for i in np.flatnonzero(met.sum(1) >= LEAST_MET)))}
     dims = WORD_DIMS + CHAR_DIMS
     p: Params = {
         "words": 0.1 * small(rng, len(vocabulary) + 1, WORD_DIMS), "chars": 0.1 * small(rng, CHAR_ROWS, CHAR_DIMS),
@@ -164,9 +202,9 @@ def train(
     }
     p["words"][0] = 0
     if vocabulary:
-        p["words"][1:, 0] = evidence(np.array([met[w] for w in vocabulary]), sizes)
+        p["words"][1:, 0] = evidence(met[[numbers[w] for w in vocabulary]], sizes)
     p["chars"][:, 0] = evidence(met_grams, sizes)
-    by_label = [[words for words, y in bags if y == label] for label in (0, 1)]
+    by_label = [[line for line, y in bags if y == label] for label in (0, 1)]
     if not all(by_label):
         p["bias"][0] = 30.0 if by_label[1] else -30.0
         p["out"][:] = 0
@@ -174,26 +212,14 @@ def train(
     adam = Adam(p)
     for step in range(steps):
         picked = [(by_label[y][i], y) for y in (0, 1) for i in rng.integers(0, len(by_label[y]), PICKED)]
-        numbers: dict[str, int] = {}
-        columns, owners = [], []
-        for owner, (words, _) in enumerate(picked):
-            starts = windows(len(words))
-            starts = starts[np.linspace(0, len(starts) - 1, min(BAG, len(starts))).astype(int)]
-            for start in starts:
-                columns.append([numbers.setdefault(w, len(numbers)) for w in words[start : start + WINDOW]])
-                owners.append(owner)
-        words = list(numbers)
+        here, local = np.unique(np.concatenate([line for line, _ in picked]), return_inverse=True)
+        words = [names[i] for i in here]
+        lines = np.split(local, np.cumsum([len(line) for line, _ in picked])[:-1])
         # Words are forgotten at random, so that their characters are learned from as well.
         own = np.array([vocabulary.get(w, 0) for w in words]) * (rng.random(len(words)) > FORGET)
         inputs = np.vstack((word_inputs(p, own, words), np.zeros((1, dims), np.float32)))
-        index = np.full((WINDOW, len(columns)), len(words))
-        for b, column in enumerate(columns):
-            index[: len(column), b] = column
-        scores, owners = score_windows(p, inputs, index), np.array(owners)
-        order = np.lexsort((-scores, owners))
-        worst = order[np.r_[True, owners[order][1:] != owners[order][:-1]]]
         tape: dict = {}
-        top = score_windows(p, inputs, index[:, worst], tape)
+        top = score_windows(p, inputs, worst_windows(p, inputs, lines), tape)
         label = np.array([y for _, y in picked])
         grads, d_inputs = gradients(p, tape, ((sigmoid(top) - label) / len(label)).astype(np.float32))
         grads["words"] = DECAY * p["words"]
@@ -223,21 +249,9 @@ def document_scores(vocabulary: dict[str, int], p: Params, texts: list[str | Non
         if not stretches:
             return
         inputs = np.vstack((word_inputs(p, np.array([vocabulary.get(w, 0) for w in numbers]), list(numbers)), np.zeros((1, p["in_ahead"].shape[0]), np.float32)))
-        lengths = np.array([len(line) for _, line in stretches])
-        line = np.concatenate([*(line for _, line in stretches), np.full(WINDOW, len(numbers))])
-        offsets = np.cumsum(lengths) - lengths
-        starts = [windows(n) for n in lengths]
-        owner = np.repeat([i for i, _ in stretches], [len(s) for s in starts])
-        begin = np.concatenate([s + o for s, o in zip(starts, offsets)])
-        end = np.repeat(offsets + lengths, [len(s) for s in starts])
-        # Windows alike in length run together, so that no step is spent on padding.
-        order = np.argsort(np.minimum(end - begin, WINDOW), kind="stable")
-        for at in range(0, len(order), ROWS):
-            some = order[at : at + ROWS]
-            steps = int(min(WINDOW, (end[some] - begin[some]).max()))
-            place = begin[some] + np.arange(steps)[:, None]
-            index = np.where(place < end[some], line[place], len(numbers))
-            np.maximum.at(best, owner[some], score_windows(p, inputs, index))
+        of = np.array([i for i, _ in stretches])
+        for owner, index in window_blocks([line for _, line in stretches], len(numbers)):
+            np.maximum.at(best, of[owner], score_windows(p, inputs, index))
         numbers.clear(), stretches.clear()
         waiting = 0
 
@@ -269,12 +283,13 @@ def document_scores(vocabulary: dict[str, int], p: Params, texts: list[str | Non
 def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), learned from ``training(doc_id, text)`` and ``labels(doc_id, label)``.
 
-    Up to ``per_class`` texts of each label are learned from. Null texts and texts without words
+    Up to ``per_class`` texts of each label are learned from, every window of them (``sample_texts``
+    bounds their bytes). Null texts and texts without words
     score 0, and so does every text if no label is known. A label other than 0 and 1 counts as
     unknown. A column ``score`` is replaced.
     """
     labels = zero_or_one(labels)
-    vocabulary, p = train(sample_texts(training, labels, per_class, MOST_CHARS), label_odds(labels))
+    vocabulary, p = train(sample_texts(training, labels, per_class), label_odds(labels))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
