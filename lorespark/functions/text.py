@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 TOKEN_UNIT = r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+$"
 TERM = r"[\p{L}\p{N}]+"
+# Fixed value: marks that stand above or below the letter before and belong to its word.
+MARKS = r"[\x{0300}-\x{0331}]+"
 # Fixed value: how pages name each other.
 WIKILINK = r"\[\[([^\[\]]+)\]\]"
 
@@ -35,7 +37,8 @@ def token_units(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case without diacritics, whether they are part of the letter or follow it."""
+    return F.translate(F.lower(F.regexp_replace(text, MARKS, "")), FOLD_FROM, FOLD_TO)
 
 
 def terms(text: Column) -> Column:

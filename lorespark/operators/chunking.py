@@ -120,7 +120,10 @@ def tag_language(contents: DataFrame, path: str = "metadata.file_path") -> DataF
 def _blocks(text: Column, language: str) -> Column:
     """``array<struct<symbol_type,symbol_name,block>>``; null when nothing starts a symbol."""
     cls, fun = CLASS_START[language], FUNCTION_START[language]
-    pieces = F.split(text, f"(?md)(?=^(?:{cls}|{fun}))")
+    # A block takes its whole start first, so that a start of several lines is not cut within.
+    head = F.regexp_extract(text, rf"(?md)\A(?!{cls}|{fun})[\s\S]*?(?=^(?:{cls}|{fun})|\z)", 0)
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?md)^(?:{cls}|{fun})[\s\S]*?(?=^(?:{cls}|{fun})|\z)"), F.lit(0))
+    pieces = F.concat(F.array(head), blocks)
     starts_class, starts_fun = rf"\A{cls}", rf"\A{fun}"
 
     def describe(block: Column) -> Column:

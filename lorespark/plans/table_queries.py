@@ -464,6 +464,34 @@ def ingest_stream_query(m: Model) -> DataFrame:
     return stored.select("chunk_id", "source_id", "kb_id", "chunk_index", "content")
 
 
+@query(
+    "ingest_stream_versions",
+    ["m_contents"],
+    f"""with {CHUNKS_SQL},
+    change as (select source_id, kb_id, length(text) % 3 as kind from m_contents)
+    select sha256(source_id || ':' || part || ':' || chunk_index) as chunk_id, source_id, part, chunk_index, content
+    from chunk join change using (source_id), (select unnest([0, 1]) as part) where kind = 2
+    union all
+    select sha256(source_id || ':0:0'), source_id, 0, 0, 'replaced ' || source_id from change where kind = 0""",
+)
+def ingest_stream_versions(m: Model) -> DataFrame:
+    """Three deliveries: all sources in two parts, a third of them anew in one part, a third emptied."""
+    spark = m.spark
+    contents = m.contents()
+    kind = F.length("text") % 3
+    version = lambda n: F.create_map(F.lit("ingest_version"), F.lit(n))
+    again = contents.filter(kind == 0).withColumn("metadata", version("1"))
+    again = again.withColumn("text", F.concat(F.lit("replaced "), "source_id"))
+    gone = contents.filter(kind == 1).withColumn("metadata", version("2")).withColumn("text", F.lit(""))
+    whole = contents.unionByName(contents.withColumn("part", F.lit(1)))
+    base = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    for delivery in (whole, again, gone):
+        delivery.write.mode("append").parquet(f"{base}-in")
+        arriving = stream_contents(spark, f"{base}-in")
+        ingest_stream(arriving, f"{base}-out/chunks", f"{base}-out/log", size=SIZE, overlap=OVERLAP).awaitTermination()
+    return latest_chunks(spark, f"{base}-out/chunks").select("chunk_id", "source_id", "part", "chunk_index", "content")
+
+
 def _arrived(df: DataFrame) -> tuple[str, str]:
     """A folder with the rows as files, and a fresh base folder for what a stream stores."""
     spark = df.sparkSession

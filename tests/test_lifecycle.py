@@ -10,7 +10,7 @@ from lorespark.operators import export, ingest, lifecycle, runs, wiki
 from lorespark.schemas import CONTENTS, KBS, LINKS, PAGE_SOURCES, PAGES, PHASES, RUN_EVENTS, SOURCES
 from lorespark.session import durable
 from lorespark.functions.frames import bounded_parts, numbered
-from lorespark.streaming.ingest import ingest_stream, latest_chunks, stream_contents
+from lorespark.streaming.ingest import ingest_stream, latest_chunks, latest_vectors, stream_contents
 from lorespark.streaming.runs import ROCKSDB, allowed, store_run_states, stream_run_events
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -298,6 +298,28 @@ def test_stream_keeps_parts_of_several_batches(spark, tmp_path):
     assert {(r.source_id, r.part, r.content) for r in got} == {("s1", 0, "a b"), ("s1", 1, "e f"), ("s2", 0, "z")}
 
 
+def test_stream_of_emptied_sources_new_checkpoints_and_halves(spark, tmp_path):
+    arrive, out, vec = (str(tmp_path / n) for n in ("in", "out", "vec"))
+
+    def deliver(log, *rows):
+        spark.createDataFrame([(s, "kb", 0, t, m) for s, t, m in rows], CONTENTS).write.mode("append").parquet(arrive)
+        ingest_stream(stream_contents(spark, arrive), out, str(tmp_path / log), vec, size=5, overlap=0).awaitTermination()
+        shown = {(r.source_id, r.content) for r in latest_chunks(spark, out).collect()}
+        assert sorted(r.document for r in latest_vectors(spark, out, vec).collect()) == sorted(c for _, c in shown)
+        return shown
+
+    assert deliver("log", ("s1", "a b", {}), ("s2", "x", {})) == {("s1", "a b"), ("s2", "x")}
+    assert deliver("log", ("s1", "", {"ingest_version": "3"})) == {("s2", "x")}
+    # A new checkpoint reads all files again and stores them behind the others.
+    assert deliver("log2", ("s3", "new", {})) == {("s2", "x"), ("s3", "new")}
+    # Chunks of a batch that was not finished stay unseen and are overwritten by the next.
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if "=" in p.name)
+    half = spark.read.parquet(f"{out}/batch={last}").withColumn("content", F.lit("half"))
+    half.write.parquet(f"{out}/batch={last + 1}")
+    assert {(r.source_id, r.content) for r in latest_chunks(spark, out).collect()} == {("s2", "x"), ("s3", "new")}
+    assert deliver("log2", ("s3", "newer", {})) == {("s2", "x"), ("s3", "newer")}
+
+
 def test_path_part_stays_in_its_folder(spark):
     names = spark.createDataFrame([("kb_1",), ("../x",), ("..-x",)], "name string")
     got = [r[0] for r in names.select(export.path_part(F.col("name"))).collect()]

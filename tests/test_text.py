@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import any_glob, glob_regex
+from lorespark.functions.text import any_glob, glob_regex, terms
 from lorespark.operators.chunking import (
     chunk_config,
     symbol_chunk,
@@ -186,3 +186,16 @@ def test_dimensions(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "embedding array<float>")
     good, rejects = check_dimension(df, 2)
     assert (good.count(), rejects.count()) == (1, 2)
+
+
+def test_start_of_two_lines_is_one_boundary(spark):
+    text = "// head\nexport\nfunction first() {}\nexport async\nfunction second() {}\nclass Third {}\n"
+    rows = symbol_chunk(contents(spark, (text, {"language": "javascript"}), ("class\nOnly {}", {"language": "javascript"})), 512, 0)
+    got = sorted((r.source_id, r.chunk_index, r.symbol_type, r.symbol_name, r.content) for r in rows.collect())
+    assert [g[2:4] for g in got] == [("module", None), ("function", "first"), ("function", "second"), ("class", "Third"), ("class", "Only")]
+    assert "".join(g[4] for g in got[:4]) == text
+
+
+def test_marks_after_letters_stay_in_the_word(spark):
+    df = spark.createDataFrame([("Cafe\u0301 nai\u0308ve caf\u00e9",)], "t string")
+    assert df.select(terms(F.col("t"))).first()[0] == ["cafe", "naive", "cafe"]
