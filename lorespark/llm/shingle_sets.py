@@ -1,6 +1,8 @@
-"""Texts whose sets of word shingles are similar, by an exact prefix join.
+"""Texts whose sets of word shingles are similar: SimHash links first, then an exact prefix join.
 
-Two sets of Jaccard similarity ``s`` or more share ``k`` of the first ``n - ceil(s n) + k`` of their
+Fingerprints of the shingles that differ in two bits or fewer are found through their deletion
+variants, and the pairs are confirmed by the whole sets. What is similar without such fingerprints
+is found by the join, which need not compare what is linked already. Two sets of Jaccard similarity ``s`` or more share ``k`` of the first ``n - ceil(s n) + k`` of their
 ``n`` shingles, whatever the order, as long as all sets use the same one. So sets are indexed by
 these only, and pairs that share enough of them are compared by the whole sets; ``k`` grows with
 ``n``, and of two sets the smaller decides. Shingles that are frequent in a share of the texts come
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.components import components
-from lorespark.llm.simhash import shingle_hashes
+from lorespark.llm.simhash import links as print_links
+from lorespark.llm.simhash import majority, shingle_hashes
 from lorespark.session import durable
 
 SHARE = 16
@@ -68,24 +71,28 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_rows(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``docs(..., text)`` with ``mark, node, n, first`` in place of ``text``: a hash of the text, the name
-    of its set, the size of the set and the shingles that index it. Equal sets have equal names."""
+    """``docs(..., text)`` with ``mark, node, print, n, first`` in place of ``text``: a hash of the text, the
+    name of its set, the fingerprint of its shingles, the size of the set and the shingles that index
+    it. Equal sets have equal names."""
     frequent, rank = _frequent(docs, shingle)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, sizes, firsts = [], [], [np.zeros(0, np.int64)]
+            names, prints, sizes, firsts = [], [], [], [np.zeros(0, np.int64)]
             # Only the indexing shingles of a batch are held, whole sets of a few texts at a time.
             for start in range(0, len(texts), BATCH):
-                sets = [shingle_set(t, shingle) for t in texts.slice(start, BATCH).to_pylist()]
+                hashes = [shingle_hashes(t, shingle) for t in texts.slice(start, BATCH).to_pylist()]
+                prints += [majority(h) for h in hashes]
+                sets = [np.unique(h) for h in hashes]
                 names += [set_name(s) for s in sets]
                 sizes += [len(s) for s in sets]
                 firsts += [first_shingles(s, similarity, frequent, rank).view(np.int64) for s in sets]
             ends = pa.array(np.cumsum([len(f) for f in firsts]), pa.int32())
             first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))
-            yield pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), first], ["node", "n", "first"])
+            numbers = [pa.array(x, pa.int64()) for x in (names, prints, sizes)]
+            yield pa.StructArray.from_arrays([*numbers, first], ["node", "print", "n", "first"])
 
-    named = F.arrow_udf(run, "node long, n long, first array<long>")
+    named = F.arrow_udf(run, "node long, print long, n long, first array<long>")
     rest = [c for c in docs.columns if c != "text"]
     return docs.select(*rest, F.xxhash64("text").alias("mark"), named("text").alias("_set")).select(*rest, "mark", "_set.*")
 
@@ -125,35 +132,45 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: sets of ``nodes(node, print)`` to compare since their fingerprints are linked or equal.
+
+    Sets of equal fingerprints are paired with the first of them, which stands for all in the index.
+    """
+    firsts = durable(nodes.groupBy("print").agg(F.min("node").alias("first")))
+    equal = nodes.join(firsts, "print").filter("node <> first").select(*_pair(F.col("node"), F.col("first")))
+    one, two = (firsts.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = print_links(firsts.select("print")).join(one, "a").join(two, "b")
+    return equal.unionByName(near.select(*_pair(F.col("first_a"), F.col("first_b"))))
+
+
 def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, hot: int = HOT) -> DataFrame:
     """``node, root`` of every set that is linked to another; ``rows`` are the stored ``set_rows`` of ``docs``.
 
-    A group is what similar pairs reach. Where over ``hot`` sets meet under a shingle, they are
+    A group is what similar pairs reach. Sets with linked fingerprints are compared first. Where over ``hot`` sets meet under a shingle, they are
     compared to one of them first, and later only with sets that they are not yet linked to; so a
     large group of near copies takes few comparisons. In the end every pair that shares enough
     indexing shingles has been compared, or is linked already.
     """
     met = Window.partitionBy("key")
+    # Copies of a set have the same shingles; one of them is indexed.
     shared = durable(
-        rows.select("node", F.explode("first").alias("key"))
+        rows.select("node", "first").dropDuplicates(["node"]).select("node", F.explode("first").alias("key"))
         .withColumn("low", F.min("node").over(met)).withColumn("high", F.max("node").over(met))
-        .filter("low < high").select("node", "key").distinct()
+        .filter("low < high").select("node", "key")
     )
-    sizes = rows.groupBy("node").agg(F.min("mark").alias("mark"), F.min("n").alias("n"))
+    sizes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("mark", "print", "n")))
     wanted = durable(
         shared.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(sizes, "node")
         .filter(F.col("keys") >= 1 + F.floor(F.col("n") * similarity / STEP - 1e-6)).drop("keys")
     )
     contents = _contents(docs, wanted.select("mark"), shingle)
     members = shared.join(wanted.select("node", "n"), "node")
-    links = found = None
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    tested = durable(_print_pairs(wanted.select("node", "print")))
+    links = _similar(tested, contents, similarity)
+    found = components(links, "a", "b")
     for turn in range(ROUNDS + 1):
-        if found is not None:
-            members = members.drop("root").join(found, "node", "left")
-        else:
-            members = members.withColumn("root", F.lit(None).cast("long"))
-        members = members.withColumn("root", F.coalesce("root", "node"))
+        members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = members.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("here"),
             F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("center"),
@@ -176,13 +193,10 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
         else:
             pairs = crowded.filter("root <> at").select(*_pair(F.col("node"), F.col("center"))).distinct()
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = _similar(pairs, contents, similarity)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(_similar(pairs, contents, similarity))
         found = components(links, "a", "b")
         if last:
             break
         tested = tested.unionByName(pairs)
         members = members.select("node", "n", "key")
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "node long, root long")
     return found

@@ -40,8 +40,11 @@ def shingle_hashes(text: str | None, n: int = 3) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> int:
-    """The 64 bits that are set in over half of the hashes, as a signed integer; 0 without words."""
-    hashes = shingle_hashes(text)
+    return majority(shingle_hashes(text))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed integer; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), BLOCK):
         part = hashes[start : start + BLOCK]
@@ -133,8 +136,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """One row of ``docs`` for each group: that of its smallest ``doc_id``.
 
     Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at
-    least ``similarity``, or if both have no words. Such pairs differ in ten of 64 fingerprint
-    bits and often in more, too many to index, so the sets themselves are joined, without loss.
+    least ``similarity``, or if both have no words. Fingerprints of those shingles are linked through
+    their deletion variants first and confirmed by the sets; pairs at the bound differ in ten of 64
+    bits and often in more, too many to index, so for those not linked yet an exact join follows.
     Among rows of that id the one with the least digest of its columns stays, so of repeated rows
     exactly one. Null ids come last. Only rows that go are looked up in the documents.
     """

@@ -110,3 +110,27 @@ def test_near_copies_of_the_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     want = brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
+
+
+def test_near_copies_go_through_fingerprints(spark, monkeypatch):
+    """Linked and equal fingerprints are what is compared first; the sets confirm them."""
+    from lorespark.llm import shingle_sets
+
+    line = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(line)), (2, " ".join(line + ["end"])), (3, " ".join(f"v{i}" for i in range(400)))]
+    # The same shingles in other numbers: one set, two fingerprints at most.
+    rows += [(4, "a b c d e f " * 9), (5, "a b c d e f " * 10 + "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = {r.doc_id: r for r in shingle_sets.set_rows(docs, 5, 0.8).collect()}
+    apart = (nodes[1].print ^ nodes[2].print) & (1 << 64) - 1
+    assert nodes[1].print == simhash.majority(simhash.shingle_hashes(rows[0][1], 5)) and apart.bit_count() <= 2
+    tried = []
+    similar = shingle_sets._similar
+
+    def watched(pairs, *rest):
+        tried.append({frozenset(r) for r in pairs.collect()})
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(shingle_sets, "_similar", watched)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [1, 3, 4]
+    assert tried[0] == {frozenset((nodes[1].node, nodes[2].node))} and not any(tried[0] & more for more in tried[1:])
