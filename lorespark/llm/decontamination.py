@@ -14,6 +14,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -24,12 +25,15 @@ WINDOW = 10
 PIECE_WORDS = 20_000
 PART_WORDS = 100_000
 BLOCK = 1 << 16
+BATCH = 256
 
 MATCH = [
     StructField("_n_words", LongType()),
     StructField("_spans", ArrayType(IntegerType())),
     StructField("_items", ArrayType(StringType())),
 ]
+HELD = "_decontamination_match"
+MATCH_TYPE = pa.struct([("_n_words", pa.int64()), ("_spans", pa.list_(pa.int32())), ("_items", pa.list_(pa.string()))])
 
 
 class Automaton:
@@ -189,26 +193,38 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     words = pieces.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
     part = F.pmod(F.xxhash64("item", "piece"), F.lit(parts))
-    plain = docs.drop(*(f.name for f in MATCH))
-    schema = StructType([*plain.schema.fields, *MATCH])
-    found = plain.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in MATCH))
+    plain = docs.drop(HELD, *(f.name for f in MATCH))
+    found = plain.withColumn(HELD, F.lit(None).cast(StructType(MATCH)))
     for p in range(parts):
         lines = [(r.item, r.line) for r in pieces.filter(part == p).select("item", "line").collect()]
-
-        def scan(frames: Iterator[pd.DataFrame], lines=lines) -> Iterator[pd.DataFrame]:
-            automaton = Automaton([(item, line.split(" ")) for item, line in sorted(lines)], window)
-            for frame in frames:
-                n_words, spans, items = [], [], []
-                for text, old_spans, old_items in zip(frame["text"], frame["_spans"], frame["_items"]):
-                    ids = word_ids(text, automaton.ids) if isinstance(text, str) else np.zeros(0, np.int32)
-                    new_spans, new_items = automaton.match(ids)
-                    if old_spans is not None:
-                        new_spans, new_items = merge(list(old_spans), new_spans), new_items | set(old_items)
-                    n_words.append(len(ids)), spans.append(new_spans), items.append(sorted(new_items))
-                yield frame.assign(_n_words=n_words, _spans=spans, _items=items)
-
-        found = found.mapInPandas(scan, schema)
-    return found
+        scan = F.arrow_udf(_scan(sorted(lines), window), StructType(MATCH))
+        found = found.withColumn(HELD, scan("text", HELD))
+    return found.select(*plain.columns, f"{HELD}.*")
+
+
+def _scan(lines: list[tuple[str, str]], window: int):
+    """Texts and what was matched before -> ``MATCH``; the texts themselves stay where they are."""
+
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        automaton = Automaton([(item, line.split(" ")) for item, line in lines], window)
+        for texts, old in batches:
+            done = []
+            # Of a batch the matches are held, and a few texts at a time.
+            for start in range(0, len(texts), BATCH):
+                few = zip(texts.slice(start, BATCH).to_pylist(), old.slice(start, BATCH).to_pylist())
+                done.append(pa.array([match_text(automaton, *one) for one in few], MATCH_TYPE))
+            yield pa.concat_arrays(done or [pa.array([], MATCH_TYPE)])
+
+    return scan
+
+
+def match_text(automaton: Automaton, text: str | None, before: dict | None) -> dict:
+    """The ``MATCH`` of a text, with what other parts of the items have matched ``before``."""
+    ids = word_ids(text, automaton.ids) if text is not None else np.zeros(0, np.int32)
+    spans, items = automaton.match(ids)
+    if before is not None:
+        spans, items = merge(before["_spans"], spans), items | set(before["_items"])
+    return {"_n_words": len(ids), "_spans": spans, "_items": sorted(items)}
 
 
 def n_hit() -> Column:

@@ -59,3 +59,15 @@ def test_spans_are_cut(spark):
     )
     got = spark_rows(d.decontaminate(docs, bench, 5, 5, 0.5))
     assert got == [(1, "Keep this. ! And this, too; it is long enough to stay here."), (3, "clean")]
+
+
+def test_texts_do_not_come_back_from_python(spark, monkeypatch):
+    monkeypatch.setattr(d, "BATCH", 2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", None, "", "x a b c", "b c"])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    found = d.find_items(docs, bench, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 1
+    assert spark_rows(found.select("doc_id", "_n_words", "_spans", "_items")) == [
+        (0, 4, [0, 3], ["1"]), (1, 0, [], []), (2, 0, [], []), (3, 4, [1, 4], ["1"]), (4, 2, [], [])
+    ]
