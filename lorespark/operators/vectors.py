@@ -25,6 +25,11 @@ NO_DIRECTION = 2.0
 # Rounds of the training of cells.
 CELL_ROUNDS = 40
 
+# Tiles of a large knowledge base grow until it is cut into no more blocks of vectors than this, or
+# until a block holds so many numbers.
+MOST_BLOCKS = 16
+BLOCK_NUMBERS = 1 << 20
+
 MATCHES = "query_id string, vec_id string, distance double"
 
 
@@ -71,6 +76,11 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(sound, norms, 1.0)[:, None], sound
 
 
+def _single(units: np.ndarray) -> np.ndarray:
+    """Rows in single precision, zeros for those that hold no number."""
+    return np.where(np.isfinite(units).all(1, keepdims=True), units, 0.0).astype(np.float32)
+
+
 class Nearest:
     """The ``k`` nearest vectors per query over a stream of vector blocks.
 
@@ -89,21 +99,50 @@ class Nearest:
             {"q": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "v": pa.array([], pa.string())}
         )
 
-    def add(self, vec_ids: pa.Array, matrix: np.ndarray) -> None:
+    def add(self, vec_ids: pa.Array, matrix: np.ndarray, met: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Take in a block. With ``met``, a table of queries by groups and the group of each vector,
+        a query looks at the vectors of its groups only.
+
+        Products in single precision, with room for their error, leave few pairs, and only for
+        these is the distance computed, in double precision.
+        """
         units, sound = unit_rows(matrix)
+        plain, here = _single(units), np.isfinite(units).all(1)
+        room = 4 * (matrix.shape[1] + 4) * 2.0**-24
+        pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         width = max(1, self.cells // max(1, len(vec_ids)))
         for start in range(0, len(self.ids), width):
             rows = slice(start, start + width)
+            asked = self.units[rows]
+            near = _single(asked) @ plain.T
+            near[~np.isfinite(asked).all(1)] = -np.inf
+            near[:, ~here] = -np.inf
+            near[~self.sound[rows]] = -1.0
+            near[:, ~sound] = -1.0
+            if met is not None:
+                near[~met[0][rows][:, met[1]]] = -np.inf
+            bound = 1 - self.worst[rows]
+            if near.shape[1] > self.k and not np.isfinite(bound).all():
+                # The k-th of the greatest of some groups is no greater than the k-th of all.
+                size = near.shape[1] // 8
+                tops = near[:, : 8 * size].reshape(len(near), 8, size).max(1) if size >= self.k else near
+                bound = np.maximum(bound, np.partition(tops, tops.shape[1] - self.k, axis=1)[:, -self.k])
+            q, v = np.nonzero(near >= (np.maximum(bound, -3.0) - room)[:, None])
+            q += start
             # adding zero turns a negative zero into a plain one
-            distance = np.round(1.0 - self.units[rows] @ units.T, DISTANCE_PLACES) + 0.0
-            distance[~self.sound[rows]] = NO_DIRECTION
-            distance[:, ~sound] = NO_DIRECTION
-            limit = self.worst[rows]
-            if distance.shape[1] > self.k:
-                limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
-            q, v = np.nonzero(distance <= limit[:, None])
-            if len(q):
-                self._merge(q + start, distance[q, v], vec_ids.take(pa.array(v)))
+            distance = np.round(1.0 - np.einsum("ij,ij->i", self.units[q], units[v]), DISTANCE_PLACES) + 0.0
+            distance[~(self.sound[q] & sound[v])] = NO_DIRECTION
+            close = distance <= self.worst[q]
+            pending.append((q[close], distance[close], v[close]))
+            if sum(len(x[0]) for x in pending) >= self.cells:
+                self._merge_all(pending, vec_ids)
+                pending = []
+        self._merge_all(pending, vec_ids)
+
+    def _merge_all(self, pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]], vec_ids: pa.Array) -> None:
+        if any(len(x[0]) for x in pending):
+            q, d, v = (np.concatenate(x) for x in zip(*pending))
+            self._merge(q, d, vec_ids.take(pa.array(v)))
 
     def _merge(self, q: np.ndarray, d: np.ndarray, v: pa.Array) -> None:
         fresh = pa.table({"q": pa.array(q, pa.int64()), "d": pa.array(d, pa.float64()), "v": v})
@@ -177,52 +216,99 @@ def _resident_matches(vectors: DataFrame, queries: pa.Table, k: int) -> DataFram
     return vectors.mapInArrow(search, MATCHES)
 
 
-def _tiled_matches(vectors: DataFrame, queries: DataFrame, k: int, tile: int) -> DataFrame:
-    """Many queries: tiles of about ``tile`` vectors by four times as many queries.
+def _tiled_matches(
+    vectors: DataFrame, queries: DataFrame, k: int, tile: int, cells: Cells | None = None, probes: int = 0
+) -> DataFrame:
+    """Many queries: tiles of at least ``tile`` vectors by four times as many queries.
 
     A large knowledge base becomes many tiles, so no task holds all of it; each tile returns
     only its ``k`` best per query. Tiles are wider in queries, because each block of queries
-    costs one more copy of the vectors in the shuffle.
+    costs one more copy of the vectors in the shuffle. A knowledge base gets no more than
+    ``MOST_BLOCKS`` blocks of vectors while a block holds up to ``BLOCK_NUMBERS`` numbers.
+
+    With ``cells``, vectors carry their ``cell``; a block holds whole cells, or parts of a crowded
+    one, and a query goes once to each block that holds one of the cells it looks into, with a bit
+    for each of them, however many those are.
     """
 
     # fresh column identities, since queries are often picked from the vectors themselves
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+    where = F.col("cell") if cells else F.lit(0)
+    counts = vectors.groupBy("kb_id", where.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")
+    )
+    rows = F.greatest(
+        F.lit(tile),
+        F.least(F.ceil(F.col("n") / MOST_BLOCKS), F.floor(F.lit(BLOCK_NUMBERS) / F.greatest("width", F.lit(1)))),
+    )
+    crowded = F.filter("held", lambda c: c["n"] > F.col("rows"))
+    parts = F.transform(crowded, lambda c: F.struct(c["cell"], F.ceil(c["n"] / F.col("rows")).cast("int").alias("parts")))
+    held = F.collect_list(F.struct("cell", "n")) if cells else F.array().cast("array<struct<cell:int,n:long>>")
+    asked = queries.groupBy("kb_id").agg(F.count(F.lit(1)).alias("asked"))
+    grid = (
+        counts.groupBy("kb_id").agg(F.sum("n").alias("n"), F.max("width").alias("width"), held.alias("held"))
+        .join(asked, "kb_id")
+        .withColumn("rows", rows)
+        .select(
+            "kb_id",
+            F.ceil(F.col("n") / F.col("rows")).cast("int").alias("v_blocks"),
+            F.ceil(F.col("asked") / (4 * F.col("rows"))).cast("int").alias("q_blocks"),
+            F.map_from_entries(parts).alias("crowded"),
+        )
+    )
 
-    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-        size = F.ceil(F.count(F.lit(1)) / rows).cast("int")
-        return df.groupBy("kb_id").agg(size.alias(name))
+    def spread(key: str, over: Column) -> Column:
+        return F.pmod(F.xxhash64(key), over).cast("int")
 
-    grid = blocks(vectors, tile, "v_blocks").join(blocks(queries, 4 * tile, "q_blocks"), "kb_id")
+    def every(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
 
-    def lay(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        placed = df.join(grid, "kb_id")
-        return placed.select(
-            *df.columns,
-            F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block"),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
-        )
+    def in_parts(cell: Column) -> Column:
+        return F.coalesce(F.try_element_at("crowded", cell), F.lit(1))
 
+    v_blocks = F.col("v_blocks")
+    v = vectors.join(grid, "kb_id")
+    q = queries.join(grid, "kb_id")
+    if cells:
+        own = F.pmod(F.col("cell") + spread("vec_id", in_parts(F.col("cell"))), v_blocks)
+        q = q.withColumn("_probed", _probed(cells, probes)("embedding"))
+        there = lambda c: F.transform(every(in_parts(c)), lambda j: F.pmod(c + j, v_blocks))
+        blocks = F.array_distinct(F.flatten(F.transform("_probed.cells", there)))
+        bits = F.col("_probed.bits").alias("bits")
+    else:
+        own, blocks, bits = spread("vec_id", v_blocks), every(v_blocks), F.lit(None).cast("binary").alias("bits")
+    v = v.select(*vectors.columns, own.alias("v_block"), F.explode(every(F.col("q_blocks"))).alias("q_block"))
+    q = q.select(*queries.columns, bits, spread("query_id", F.col("q_blocks")).alias("q_block"), F.explode(blocks).alias("v_block"))
     tiles = ["kb_id", "v_block", "q_block"]
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype(
-                {"query_id": str, "vec_id": str, "distance": float}
-            )
-        nearest = Nearest(
-            right["query_id"].to_numpy(), np.stack(right["embedding"]).astype(np.float64), k
-        )
-        nearest.add(
-            pa.array(left["vec_id"], pa.string()), np.stack(left["embedding"]).astype(np.float64)
-        )
-        return nearest.result().to_pandas()
-
-    return (
-        lay(vectors, "vec_id", "v", "q")
-        .groupBy(*tiles)
-        .cogroup(lay(queries, "query_id", "q", "v").groupBy(*tiles))
-        .applyInPandas(search, MATCHES)
-    )
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [Nearest(np.zeros(0, object), np.zeros((0, 1)), k)]
+        if left.num_rows and right.num_rows:
+            left, right = left.combine_chunks(), right.combine_chunks()
+            vec_ids = left["vec_id"].combine_chunks().cast(pa.string())
+            matrix = _matrix(left["embedding"].combine_chunks())
+            ids = np.array(right["query_id"].to_pylist(), dtype=object)
+            sought = _matrix(right["embedding"].combine_chunks())
+            whole = Nearest(ids, sought, k)
+            if not cells:
+                whole.add(vec_ids, matrix)
+                found.append(whole)
+            else:
+                here, group = np.unique(left["cell"].to_numpy(), return_inverse=True)
+                packed = np.frombuffer(b"".join(right["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
+                met = (packed[:, here >> 3] >> (here & 7).astype(np.uint8) & 1).astype(bool)
+                if 4 * (met.sum(0) * np.bincount(group)).sum() >= met.shape[0] * len(group):
+                    whole.add(vec_ids, matrix, None if met.all() else (met, group))
+                    found.append(whole)
+                else:
+                    for one in range(len(here)):
+                        some, mine = np.flatnonzero(met[:, one]), np.flatnonzero(group == one)
+                        part = Nearest(ids[some], sought[some], k)
+                        part.add(vec_ids.take(pa.array(mine)), matrix[mine])
+                        found.append(part)
+        return pa.concat_tables([nearest.result() for nearest in found])
+
+    return v.groupBy(*tiles).cogroup(q.groupBy(*tiles)).applyInArrow(search, MATCHES)
 
 
 def vector_topk(
@@ -239,7 +325,7 @@ def vector_topk(
     ``vectors(kb_id, vec_id, embedding)``, ``queries(query_id, kb_id, embedding)`` ->
     ``(query_id, vec_id, distance, rank)``, nearest first, ties by id. ``scoped`` keeps a
     query inside its knowledge base. Up to ``resident_queries`` queries travel with the tasks
-    and vectors are not shuffled; more are laid out in tiles.
+    and vectors are not shuffled; more are laid out in tiles of at least ``tile`` vectors.
     """
     everywhere = F.lit("")
     v = where_equals(vectors, where).select(
@@ -378,6 +464,19 @@ def assign_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
     return vectors.withColumn("cell", F.pandas_udf(cell, T.IntegerType())("embedding"))
 
 
+def _probed(cells: Cells, probes: int):
+    """The cells that a vector looks into: their numbers, and a bit for each cell there is."""
+
+    def probed(vectors: pd.Series) -> pd.DataFrame:
+        found = cells.nearest(vectors, probes)
+        marks = np.zeros((len(found), len(cells.lift)), bool)
+        np.put_along_axis(marks, found, True, axis=1)
+        bits = np.packbits(marks, axis=1, bitorder="little")
+        return pd.DataFrame({"cells": list(found), "bits": [row.tobytes() for row in bits]})
+
+    return F.pandas_udf(probed, "cells array<int>, bits binary")
+
+
 def probed_cells(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
     """A row for each ``cell`` that a query looks into."""
 
@@ -403,7 +502,8 @@ def vector_topk_ann(
 
     ``vectors`` may carry ``cell`` from ``assign_cells`` with the same ``cells``; without cells
     they are trained on the vectors that satisfy ``where``. A vector lies in one cell, so no pair
-    is met twice, and a crowded cell is split into tiles like a crowded kb. Recall against
+    is met twice. Up to ``resident_queries`` pairs of a query and a cell travel with the tasks;
+    with more, cells are gathered into tiles and crowded ones split. Recall against
     ``vector_topk`` is reported by ``ann_recall``; probing every cell gives its exact answer.
     """
     vectors = where_equals(vectors, where)
@@ -413,12 +513,15 @@ def vector_topk_ann(
         vectors = assign_cells(vectors, cells)
     probes = min(probes or cells.probes, len(cells.lift))
     kb = F.col("kb_id") if scoped else F.lit("")
-    place = F.concat_ws("|", kb, F.col("cell").cast("string")).alias("kb_id")
-    q = probed_cells(queries.select("query_id", "kb_id", "embedding"), cells, probes)
-    return _ranked(
-        vectors.select(place, "vec_id", "embedding"), q.select("query_id", place, "embedding"),
-        k, resident_queries, tile,
-    )
+    place = F.concat_ws("|", "kb_id", F.col("cell").cast("string")).alias("kb_id")
+    v = vectors.select(kb.alias("kb_id"), "vec_id", "embedding", "cell")
+    q = queries.select("query_id", kb.alias("kb_id"), "embedding")
+    held = probed_cells(q, cells, probes).select("query_id", place, "embedding").limit(resident_queries + 1).toArrow()
+    if held.num_rows <= resident_queries:
+        matches = _resident_matches(v.select(place, "vec_id", "embedding"), held, k)
+    else:
+        matches = _tiled_matches(v, q, k, tile, cells, probes)
+    return top_k(matches, ["query_id"], [F.col("distance"), F.col("vec_id")], k, "rank")
 
 
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

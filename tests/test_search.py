@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -437,3 +438,68 @@ def test_semantic_and_hybrid_end_to_end(spark):
     assert mixed[0].source_id == "c1" and {"p2"} <= {r.source_id for r in mixed}
     shown = json.loads(results_json(hybrid_search(chunks, pages(spark), q, 1)).first().json)
     assert shown["source_id"] == "c1" and shown["source_type"] == "chunk"
+
+
+def numbers_of(frame, name):
+    """How many tiles and copies the laid out rows of a tiled search make."""
+    return {r[0]: r[1] for r in frame.groupBy(name).count().collect()}
+
+
+@pytest.mark.parametrize("all_cells", [True, False])
+def test_a_query_goes_to_a_tile_once_however_many_cells_it_probes(spark, monkeypatch, all_cells):
+    """Copies of queries are bounded by the blocks of a kb, neither by cells nor by 1 / ``tile``."""
+    from lorespark.operators import vectors as operator
+
+    vectors = skewed_vectors(spark, 600).filter("vec_id <> 'zero'")
+    queries = vectors.select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "kb_id", "embedding")
+    laid = []
+    cogroup = type(vectors).groupBy
+
+    def watched(frame, *columns):
+        if isinstance(columns[-1], str) and columns[-1] == "q_block":
+            laid.append(frame)
+        return cogroup(frame, *columns)
+
+    cells = train_cells(vectors, 3, scoped=False)
+    probes = len(cells.lift) if all_cells else 2
+    monkeypatch.setattr(type(vectors), "groupBy", watched)
+    found = vector_topk_ann(vectors, queries, 3, cells, probes, scoped=False, resident_queries=0, tile=2)
+    monkeypatch.undo()
+    copies = numbers_of(laid[1], "query_id")
+    assert len(cells.lift) > operator.MOST_BLOCKS and max(copies.values()) <= operator.MOST_BLOCKS
+    if all_cells:
+        assert ranked(found) == ranked(vector_topk(vectors, queries, 3, scoped=False))
+    else:
+        whole = vector_topk_ann(vectors, queries, 3, cells, probes, scoped=False, resident_queries=10_000)
+        assert ranked(found) == ranked(whole)
+    laid.clear()
+    monkeypatch.setattr(type(vectors), "groupBy", watched)
+    exact = vector_topk(vectors, queries, 3, scoped=False, resident_queries=0, tile=2)
+    monkeypatch.undo()
+    assert max(numbers_of(laid[1], "query_id").values()) <= operator.MOST_BLOCKS
+    assert exact.count() == 3 * 600
+
+
+def test_nearest_of_odd_vectors():
+    from lorespark.operators.vectors import Nearest
+
+    rng = np.random.default_rng(4)
+    odd = np.array([[np.inf, 0, 1], [np.nan, 0, 1], [0, 0, 0], [1e-200, 0, 0], [-1, 0, 0]], float)
+    matrix = np.concatenate([odd, rng.normal(size=(60, 3)), odd])
+    ids = np.array([f"v{i:02d}" for i in range(len(matrix))], object)
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    sound = norms > 0
+    with np.errstate(invalid="ignore"):
+        units = matrix / np.where(sound, norms, 1)[:, None]
+        want = np.round(1 - units @ units.T, 10) + 0.0
+    want[~sound], want[:, ~sound] = 2.0, 2.0
+    for k in (1, 4, 80):
+        nearest = Nearest(ids, matrix, k)
+        for rows in (slice(0, 40), slice(40, 70)):
+            nearest.add(pa.array(ids[rows], pa.string()), matrix[rows])
+        got = {}
+        for r in nearest.result().to_pylist():
+            got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+        for i, name in enumerate(ids):
+            best = sorted((d, v) for d, v in zip(want[i], ids) if not np.isnan(d))[:k]
+            assert [v for _, v in got.get(name, [])] == [v for _, v in best], (k, name)
