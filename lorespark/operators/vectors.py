@@ -311,6 +311,11 @@ def _tiled_matches(
     return v.groupBy(*tiles).cogroup(q.groupBy(*tiles)).applyInArrow(search, MATCHES)
 
 
+def _scope(scoped: bool) -> Column:
+    """The kb of a row, or the same for all; no literal, so that a join by it keeps its key."""
+    return (F.col("kb_id") if scoped else F.concat_ws("", F.left("kb_id", F.lit(0)))).alias("kb_id")
+
+
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -327,13 +332,8 @@ def vector_topk(
     query inside its knowledge base. Up to ``resident_queries`` queries travel with the tasks
     and vectors are not shuffled; more are laid out in tiles of at least ``tile`` vectors.
     """
-    everywhere = F.lit("")
-    v = where_equals(vectors, where).select(
-        (F.col("kb_id") if scoped else everywhere).alias("kb_id"), "vec_id", "embedding"
-    )
-    q = queries.select(
-        "query_id", (F.col("kb_id") if scoped else everywhere).alias("kb_id"), "embedding"
-    )
+    v = where_equals(vectors, where).select(_scope(scoped), "vec_id", "embedding")
+    q = queries.select("query_id", _scope(scoped), "embedding")
     return _ranked(v, q, k, resident_queries, tile)
 
 
@@ -512,10 +512,9 @@ def vector_topk_ann(
     if "cell" not in vectors.columns:
         vectors = assign_cells(vectors, cells)
     probes = min(probes or cells.probes, len(cells.lift))
-    kb = F.col("kb_id") if scoped else F.lit("")
     place = F.concat_ws("|", "kb_id", F.col("cell").cast("string")).alias("kb_id")
-    v = vectors.select(kb.alias("kb_id"), "vec_id", "embedding", "cell")
-    q = queries.select("query_id", kb.alias("kb_id"), "embedding")
+    v = vectors.select(_scope(scoped), "vec_id", "embedding", "cell")
+    q = queries.select("query_id", _scope(scoped), "embedding")
     held = probed_cells(q, cells, probes).select("query_id", place, "embedding").limit(resident_queries + 1).toArrow()
     if held.num_rows <= resident_queries:
         matches = _resident_matches(v.select(place, "vec_id", "embedding"), held, k)
