@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.functions.frames import may_be_in
 from lorespark.llm.components import components
 from lorespark.llm.simhash import links as print_links
 from lorespark.llm.simhash import majority, shingle_hashes
@@ -111,7 +112,9 @@ def _contents(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), shingles], ["node", "shingles"])
 
-    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(wanted, "mark", "left_semi")
+    # Texts that are not wanted stay where they are; the join drops the few that pass the filter.
+    marked = docs.select(F.xxhash64("text").alias("mark"), "text")
+    texts = marked.filter(may_be_in(wanted)("mark")).join(wanted, "mark", "left_semi")
     return durable(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
 
 
@@ -135,12 +138,14 @@ def _pair(a, b) -> list:
 def _print_pairs(nodes: DataFrame) -> DataFrame:
     """``a, b``: sets of ``nodes(node, print)`` to compare since their fingerprints are linked or equal.
 
-    Sets of equal fingerprints are paired with the first of them, which stands for all in the index.
+    Sets of equal fingerprints are paired with the first of them, which stands for all in the index,
+    and each fingerprint with the smallest one that it is linked to; so a large group of near copies
+    gives no more pairs than it has fingerprints. What these do not confirm is left to the join.
     """
     firsts = durable(nodes.groupBy("print").agg(F.min("node").alias("first")))
     equal = nodes.join(firsts, "print").filter("node <> first").select(*_pair(F.col("node"), F.col("first")))
     one, two = (firsts.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
-    near = print_links(firsts.select("print")).join(one, "a").join(two, "b")
+    near = print_links(firsts.select("print")).groupBy("b").agg(F.min("a").alias("a")).join(one, "a").join(two, "b")
     return equal.unionByName(near.select(*_pair(F.col("first_a"), F.col("first_b"))))
 
 
@@ -170,19 +175,19 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
     links = _similar(tested, contents, similarity)
     found = components(links, "a", "b")
     for turn in range(ROUNDS + 1):
-        members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = members.groupBy("key").agg(
+        rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = rooted.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("here"),
             F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("center"),
             F.min_by("root", F.xxhash64("node", F.lit(turn))).alias("at"),
         ).filter("low < high")
-        members = durable(members.select("node", "n", "key", "root").join(apart.drop("low", "high"), "key"))
-        if members.isEmpty():
-            break
-        crowded = members.filter(F.col("here") > hot)
-        last = turn == ROUNDS or crowded.isEmpty()
+        last = turn == ROUNDS
+        if not last:
+            crowded = durable(rooted.join(apart.filter(F.col("here") > hot).select("key", "center", "at"), "key"))
+            last = crowded.isEmpty()
         if last:
-            one, two = (members.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root"))) for s in "12")
+            held = durable(rooted.select("node", "n", "key", "root").join(apart.select("key"), "key"))
+            one, two = (held.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root"))) for s in "12")
             near = (F.col("root1") < F.col("root2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-6)
             pairs = (
                 one.join(two, "key").filter(near)
@@ -198,5 +203,4 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
         if last:
             break
         tested = tested.unionByName(pairs)
-        members = members.select("node", "n", "key")
     return found

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from lorespark.functions.frames import may_be_in
 from lorespark.llm.components import components
 from lorespark.session import durable
 
@@ -140,7 +141,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     their deletion variants first and confirmed by the sets; pairs at the bound differ in ten of 64
     bits and often in more, too many to index, so for those not linked yet an exact join follows.
     Among rows of that id the one with the least digest of its columns stays, so of repeated rows
-    exactly one. Null ids come last. Only rows that go are looked up in the documents.
+    exactly one. Null ids come last. Only rows that go are looked up in the documents, and only what
+    may be such a row is shuffled for it.
     """
     from lorespark.llm.shingle_sets import set_rows, similar_groups  # it imports this module
 
@@ -160,9 +162,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     )
     same = lambda other: docs["doc_id"].eqNullSafe(other["_simhash_id"]) & (digest == other["_simhash_digest"])
     gone = stays.filter("not stays or times > 1")
-    once = docs.join(gone, same(gone), "left_anti")
+    touched = may_be_in(gone.select("_simhash_digest"))(digest)
+    once = docs.filter(~touched).unionByName(docs.filter(touched).join(gone, same(gone), "left_anti"))
     repeated = stays.filter("stays and times > 1")
-    again = docs.withColumn("_simhash_digest", digest).join(
+    again = docs.filter(touched).withColumn("_simhash_digest", digest).join(
         repeated.withColumnRenamed("_simhash_digest", "_digest"),
         F.col("doc_id").eqNullSafe(F.col("_simhash_id")) & (F.col("_simhash_digest") == F.col("_digest")),
         "left_semi",

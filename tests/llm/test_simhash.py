@@ -134,3 +134,33 @@ def test_near_copies_go_through_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(shingle_sets, "_similar", watched)
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [1, 3, 4]
     assert tried[0] == {frozenset((nodes[1].node, nodes[2].node))} and not any(tried[0] & more for more in tried[1:])
+
+
+def test_a_group_of_linked_fingerprints_gives_few_pairs(spark):
+    from lorespark.llm import shingle_sets
+
+    # One bit each away from zero: every two of them are linked.
+    nodes = spark.createDataFrame([(i, 1 << i) for i in range(60)], "node long, print long")
+    pairs = [tuple(r) for r in shingle_sets._print_pairs(nodes).collect()]
+    assert sorted(b for _, b in pairs) == list(range(1, 60)) and {a for a, _ in pairs} == {0}
+
+
+def test_filter_of_keys_lets_through_what_is_among_them(spark):
+    from pyspark.sql import functions as F
+
+    from lorespark.functions.frames import may_be_in
+
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("key"))
+    passed = rows.filter(may_be_in(rows.filter("id % 10 = 0").select("key"))("key"))
+    ids = {r.id for r in passed.collect()}
+    assert ids >= set(range(0, 5000, 10)) and len(ids) < 510
+    assert rows.filter(may_be_in(rows.limit(0).select("key"))("key")).isEmpty()
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9) for i in range(50)] + [(99, "some words of text 3 " * 9)], "doc_id long, text string")
+    left = simhash.drop_near_copies(docs)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(50))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    joins = [part for part in plan.split("Join Left")[1:] if part.startswith(("Anti", "Semi"))]
+    assert joins and all("passes(" in part.split("Relation")[0] for part in joins)
