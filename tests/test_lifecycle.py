@@ -208,6 +208,25 @@ def test_run_stream_refuses_and_resumes(spark, tmp_path):
     assert (rows[7].state_phase, rows[7].state_status) == ("read_source", "running")
 
 
+def test_a_run_is_judged_over_several_frames():
+    import pandas as pd
+
+    from lorespark.streaming.runs import judge
+
+    class State:
+        exists, get = True, ("initialize", "running")
+
+        def update(self, value):
+            self.new = value
+
+    rows = [(3, "read_source", "running", 30), (1, "initialize", "completed", 10), (2, "chunk", "running", 10), (4, "x", None, 40)]
+    frames = [pd.DataFrame(part, columns=["seq", "phase", "status", "_at"]) for part in (rows[:2], rows[2:])]
+    state = State()
+    (out,) = judge(("r",), iter(frames), state)
+    assert out["seq"].tolist() == [1, 2, 3, 4] and out["accepted"].tolist() == [True, False, True, False]
+    assert state.new == ("read_source", "running") and out["state_phase"].tolist()[1] == "initialize"
+
+
 def test_ingest_stream_equals_batch_and_replaces(spark, tmp_path):
     arrive, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     first = contents(spark, ("s1", "kb", "a b c d e"), ("s2", "kb", "x y"))
