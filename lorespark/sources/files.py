@@ -119,29 +119,25 @@ def _entries(root: str, rel_path: str, ignore: str | None) -> tuple[list[pafs.Fi
 
 def _children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries one level below each directory, or a row that says why it cannot be listed."""
+    columns = [c.split()[0] for c in LISTING.split(", ")]
     for frame in frames:
+        held: list[tuple] = []
         for row in frame.itertuples(index=False):
             try:
                 found, ignore = _entries(row.root, row.rel_path, row.ignore)
             except (OSError, ValueError) as problem:
                 error = _failure(f"{row.root}/{row.rel_path}".rstrip("/"), problem)
-                yield pd.DataFrame(
-                    [(row.source_id, row.root, row.rel_path, False, None, error)],
-                    columns=[c.split()[0] for c in LISTING.split(", ")],
-                )
+                held.append((row.source_id, row.root, row.rel_path, False, None, error))
                 continue
-            for at in range(0, len(found), BATCH_ENTRIES):
-                some = found[at : at + BATCH_ENTRIES]
-                yield pd.DataFrame(
-                    {
-                        "source_id": row.source_id,
-                        "root": row.root,
-                        "rel_path": [posixpath.join(row.rel_path, f.base_name) for f in some],
-                        "is_dir": [f.type == pafs.FileType.Directory for f in some],
-                        "ignore": ignore,
-                        "error": None,
-                    }
-                )
+            # Many small directories make one batch, a large one several.
+            for f in found:
+                path, is_dir = posixpath.join(row.rel_path, f.base_name), f.type == pafs.FileType.Directory
+                held.append((row.source_id, row.root, path, is_dir, ignore, None))
+                if len(held) >= BATCH_ENTRIES:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
 
 LISTING = "source_id string, root string, rel_path string, is_dir boolean, ignore string, error string"
@@ -256,8 +252,10 @@ def read_or_fail(listing: DataFrame) -> DataFrame:
     rows = loaded.select(
         "source_id", "path", "part", text.alias("text"), kind.alias("file_type"), "error"
     )
-    json = rows.filter("file_type = '.json'").withColumn("text", indent_json(F.col("text")))
-    rows = rows.filter("file_type is null or file_type <> '.json'").unionByName(json)
+    # One pass for all types: a union of two would open every file twice.
+    json = F.col("file_type").eqNullSafe(".json")
+    rows = rows.withColumn("_json", indent_json(F.when(json, F.col("text"))))
+    rows = rows.withColumn("text", F.when(json, F.col("_json")).otherwise(F.col("text")))
     metadata = F.create_map(
         F.lit("file_path"), F.col("path"), F.lit("file_type"), F.col("file_type")
     )

@@ -272,3 +272,27 @@ def test_response_without_status_is_rejected(spark):
     rows = spark.createDataFrame([("u", None, "text/plain", "b")], "url string, status_code int, content_type string, body string")
     documents, rejects = response_documents(rows)
     assert documents.count() == 0 and rejects.count() == 1
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    from lorespark.sources import files
+
+    (tmp_path / "a.json").write_text('{"a":[1]}')
+    (tmp_path / "b").write_text('{"a":[1]}')
+    listing = spark.createDataFrame([(n, str(tmp_path / n), 0) for n in ("a.json", "b")], "source_id string, path string, part int")
+    rows = files.read_or_fail(listing)
+    assert {r.source_id: r.text for r in rows.collect()} == {"a.json": '{\n  "a": [\n    1\n  ]\n}', "b": '{"a":[1]}'}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_small_directories_share_a_batch(tmp_path):
+    import pandas as pd
+
+    from lorespark.sources.files import _children
+
+    for i in range(30):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "x").write_text("x")
+    roots = pd.DataFrame([(str(i), str(tmp_path / str(i)), "", None) for i in range(30)], columns=["source_id", "root", "rel_path", "ignore"])
+    (found,) = _children([roots])
+    assert found["rel_path"].tolist() == ["x"] * 30
