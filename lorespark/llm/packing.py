@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from contextlib import ExitStack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,9 @@ from lorespark.session import durable, scratch_folder
 
 ROW_TOKENS = 2048
 BLOCK_TOKENS = 1 << 21
+# Tokens of the rows that are laid out at once, and texts that are Python strings at once.
+MATRIX_TOKENS = 1 << 19
+TEXTS = 256
 
 PACKED = (
     "part int, block int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>,"
@@ -82,25 +84,75 @@ def best_fit(sizes: np.ndarray, most: int) -> list[list[int]]:
     return rows
 
 
-def _pack_block(docs: list[tuple[object, np.ndarray]], row_tokens: int, part: int, block: int) -> pd.DataFrame:
-    pieces = [
-        (doc_id, at // row_tokens, ids[at : at + row_tokens])
-        for doc_id, ids in docs
-        for at in range(0, len(ids), row_tokens)
-    ]
-    sizes = np.array([len(p[2]) for p in pieces])
-    out = []
-    for row, members in enumerate(best_fit(sizes, row_tokens)):
-        ends = np.cumsum(sizes[members])
-        ids, positions = np.zeros(row_tokens, ID_TYPE), np.zeros(row_tokens, ID_TYPE)
-        for piece, end in zip(members, ends):
-            n = sizes[piece]
-            ids[end - n : end], positions[end - n : end] = pieces[piece][2], np.arange(n)
-        out.append((
-            part, block, row, int(ends[-1]), ids.tobytes(), positions.tobytes(), [0, *ends.tolist()],
-            [pieces[p][0] for p in members], [pieces[p][1] for p in members],
-        ))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
+def _binary(data: object, n: int, width: int) -> pa.Array:
+    """``n`` values of ``width`` bytes each, laid side by side in ``data``."""
+    edges = pa.array(np.arange(n + 1, dtype="i4") * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, edges.buffers()[1], pa.py_buffer(data)])
+
+
+def _pack_block(
+    doc_ids: pa.Array, lines: list[np.ndarray], row_tokens: int, part: int, block: int
+) -> Iterator[pa.RecordBatch]:
+    """The packed rows of the ids ``lines`` of documents, a bounded number of rows at a time."""
+    pieces = [(doc, at) for doc, ids in enumerate(lines) for at in range(0, len(ids), row_tokens)]
+    sizes = np.array([min(row_tokens, len(lines[doc]) - at) for doc, at in pieces])
+    steps = np.arange(row_tokens, dtype=ID_TYPE)
+    rows = best_fit(sizes, row_tokens)
+    most = max(1, MATRIX_TOKENS // row_tokens)
+    for first in range(0, len(rows), most):
+        some = rows[first : first + most]
+        ids, positions = np.zeros((2, len(some), row_tokens), ID_TYPE)
+        ends = [np.cumsum(sizes[members]) for members in some]
+        for row, members in enumerate(some):
+            for (doc, at), end, n in zip((pieces[p] for p in members), ends[row], sizes[members]):
+                ids[row, end - n : end], positions[row, end - n : end] = lines[doc][at : at + n], steps[:n]
+        flat = [p for members in some for p in members]
+        counts = np.array([len(members) for members in some])
+        starts = np.cumsum([0, *counts]).astype("i4")
+        segments = np.concatenate([np.r_[0, e] for e in ends]).astype("i4")
+        owners = doc_ids.take(pa.array([pieces[p][0] for p in flat]))
+        numbers = pa.array([pieces[p][1] // row_tokens for p in flat], pa.int32())
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([part] * len(some), pa.int32()),
+            "block": pa.array([block] * len(some), pa.int32()),
+            "row": pa.array(range(first, first + len(some)), pa.int32()),
+            "n_tokens": pa.array([int(e[-1]) for e in ends], pa.int32()),
+            "ids": _binary(ids.tobytes(), len(some), row_tokens * ids.itemsize),
+            "positions": _binary(positions.tobytes(), len(some), row_tokens * ids.itemsize),
+            "cu_seqlens": pa.ListArray.from_arrays(np.cumsum([0, *(counts + 1)]).astype("i4"), pa.array(segments)),
+            "doc_ids": pa.ListArray.from_arrays(starts, owners),
+            "pieces": pa.ListArray.from_arrays(starts, numbers),
+        })
+
+
+def _pack_texts(
+    batches: Iterator[pa.RecordBatch], row_tokens: int, vocabulary: str, end: int, block_tokens: int
+) -> Iterator[pa.RecordBatch]:
+    """What ``pack`` makes of the documents of one task."""
+    encoder, part, block, n = None, TaskContext.get().partitionId(), 0, 0
+    doc_ids: list[pa.Array] = []
+    lines: list[np.ndarray] = []
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            # A few texts at a time become Python strings; ids are copied, so that no batch is kept for them.
+            encoder = encoder or Encoder(vocabulary)
+            texts = batch.column("text").slice(at, TEXTS).to_pylist()
+            owners, first = batch.column("doc_id").take(pa.array(range(at, at + len(texts)))), 0
+            for i, text in enumerate(texts, 1):
+                lines.append(np.append(encoder.ids(text), np.array([end], ID_TYPE)))
+                n += len(lines[-1])
+                if n >= block_tokens:
+                    held = pa.concat_arrays([*doc_ids, owners[first:i]])
+                    yield from _pack_block(held, lines, row_tokens, part, block)
+                    doc_ids, lines, n, first, block = [], [], 0, i, block + 1
+            doc_ids.append(owners[first:])
+    if lines:
+        yield from _pack_block(pa.concat_arrays(doc_ids), lines, row_tokens, part, block)
+
+
+def _check(row_tokens: int) -> None:
+    if not 0 < row_tokens < 1 << 16:
+        raise ValueError("row_tokens must be positive and below 65,536")
 
 
 def pack(
@@ -118,41 +170,35 @@ def pack(
     empty texts are the single id ``end``. The row numbers count within ``part`` and ``block``;
     an empty table gives no rows and other columns are ignored.
     """
-    if not 0 < row_tokens < 1 << 16:
-        raise ValueError("row_tokens must be positive and below 65,536")
+    _check(row_tokens)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = None, TaskContext.get().partitionId()
-        held, n, block = [], 0, 0
-        for frame in frames:
-            encoder = encoder or Encoder(vocabulary)
-            doc_ids = frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None)
-            for doc_id, text in zip(doc_ids, frame["text"]):
-                ids = np.append(encoder.ids(text), np.array([end], ID_TYPE))
-                held.append((doc_id, ids))
-                n += len(ids)
-                if n >= block_tokens:
-                    yield _pack_block(held, row_tokens, part, block)
-                    held, n, block = [], 0, block + 1
-        if held:
-            yield _pack_block(held, row_tokens, part, block)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack_texts(batches, row_tokens, vocabulary, end, block_tokens)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, PACKED.format(kind=kind))
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED.format(kind=kind))
 
 
-def write_matrices(packed: DataFrame, folder: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
+def write_matrices(rows: DataFrame, folder: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
     """Write packed rows as binary files; ``file, rows`` per file.
 
+    ``rows`` are those of ``pack``. Or they are documents, just ``doc_id, text``: then each task packs
+    its own as ``pack`` does and writes them at once, in one Python process instead of two.
+
     For each task: ``ids-*.bin`` and ``positions-*.bin`` are matrices of ``row_tokens`` 16-bit
     columns, ``segments-*.bin`` holds the cumulative lengths of all rows as 32-bit integers, one
     0 at the start of each row, and ``index-*.bin`` is an Arrow stream of each row's number, length,
     documents and pieces. Files appear whole and a repeated task replaces its own.
     """
 
+    _check(row_tokens)
+    texts = rows.columns == ["doc_id", "text"]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name, attempt, rows, stream = f"{task.partitionId():06d}.bin", task.taskAttemptId(), 0, None
+        name, attempt, written, stream = f"{task.partitionId():06d}.bin", task.taskAttemptId(), 0, None
+        if texts:
+            batches = _pack_texts(batches, row_tokens, VOCABULARY, END, BLOCK_TOKENS)
         with (
             whole_file(f"{folder}/ids-{name}", attempt) as ids,
             whole_file(f"{folder}/positions-{name}", attempt) as positions,
@@ -166,14 +212,15 @@ def write_matrices(packed: DataFrame, folder: str, row_tokens: int = ROW_TOKENS)
                 places = batch.select(INDEX)
                 stream = stream or pa.ipc.new_stream(index, places.schema)
                 stream.write_batch(places)
-                rows += len(batch)
+                written += len(batch)
             if stream:
                 stream.close()
-        yield pa.RecordBatch.from_pydict({"file": [name], "rows": pa.array([rows], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": pa.array([written], pa.int64())})
 
     store, path = filesystem(folder)
     store.create_dir(path)
-    return packed.select(*INDEX, "ids", "positions", "cu_seqlens").mapInArrow(write, "file string, rows long")
+    held = rows if texts else rows.select(*INDEX, "ids", "positions", "cu_seqlens")
+    return held.mapInArrow(write, "file string, rows long")
 
 
 def read_matrices(spark: SparkSession, folder: str, kind: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
@@ -192,12 +239,10 @@ def read_matrices(spark: SparkSession, folder: str, kind: str, row_tokens: int =
                 )
                 for places in pa.ipc.open_stream(index):
                     n = len(places)
-                    edges = pa.array(np.arange(n + 1, dtype="i4") * width)
                     sizes = [len(p) + 1 for p in places.column("pieces")]
                     lengths = np.frombuffer(segments.read(4 * sum(sizes)), "<i4")
                     found = {c: places.column(c) for c in INDEX} | {
-                        c: pa.Array.from_buffers(pa.binary(), n, [None, edges.buffers()[1], pa.py_buffer(f.read(n * width))])
-                        for c, f in (("ids", ids), ("positions", positions))
+                        c: _binary(f.read(n * width), n, width) for c, f in (("ids", ids), ("positions", positions))
                     }
                     found["cu_seqlens"] = pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype("i4"), pa.array(lengths))
                     yield pa.RecordBatch.from_pydict({c: found[c] for c in names})
@@ -212,5 +257,5 @@ def pack_files(docs: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
     """The rows of ``pack``, written as matrices to a new shared folder and read from these alone."""
     spark = docs.sparkSession
     folder = f"{scratch_folder(spark)}/packed-{uuid.uuid4().hex}"
-    durable(write_matrices(pack(docs, row_tokens), folder, row_tokens))
+    durable(write_matrices(docs.select("doc_id", "text"), folder, row_tokens))
     return read_matrices(spark, folder, docs.schema["doc_id"].dataType.simpleString(), row_tokens)

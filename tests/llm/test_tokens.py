@@ -108,3 +108,31 @@ def test_the_query_writes_matrices(spark, monkeypatch):
     write = packing.write_matrices
     monkeypatch.setattr(packing, "write_matrices", lambda rows, folder, n: folders.append(folder) or write(rows, folder, n))
     assert QUERIES["op7_pack_tokens"](spark, FOLDER).count() and len(folders) == 1
+
+
+def test_packing_takes_one_python_process_a_task(spark, tmp_path, monkeypatch):
+    plans = []
+    write = packing.write_matrices
+
+    def seen(*given):
+        out = write(*given)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(packing, "write_matrices", seen)
+    monkeypatch.setattr(packing, "scratch_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    assert packing.pack_files(docs, 64).count()
+    assert sum(plans[0].count(f"{kind} write") + plans[0].count(f"{kind} run") for kind in ("MapInArrow", "MapInPandas")) == 1
+
+
+def test_blocks_within_a_batch_keep_their_documents(spark, encoder):
+    docs = [(f"d{i}" if i % 5 else None, "ab " * (i % 7)) for i in range(700)]
+    frame = spark.createDataFrame(docs, "doc_id string, text string").coalesce(1)
+    rows = packing.pack(frame, row_tokens=16, block_tokens=100).collect()
+    got = sorted(
+        (d or "", np.frombuffer(r.ids, "<u2")[a:b].tolist())
+        for r in rows for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:])
+    )
+    assert got == sorted((d or "", [*encoder.ids(t).tolist(), tokens.END]) for d, t in docs)
+    assert len({r.block for r in rows}) > 20
