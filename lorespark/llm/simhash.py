@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType
 
 from lorespark.functions.frames import may_be_in
 from lorespark.llm.components import components
-from lorespark.session import durable
+from lorespark.session import durable, passing
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -142,24 +142,27 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     bits and often in more, too many to index, so for those not linked yet an exact join follows.
     Among rows of that id the one with the least digest of its columns stays, so of repeated rows
     exactly one. Null ids come last. Only rows that go are looked up in the documents, and only what
-    may be such a row is shuffled for it.
+    may be such a row is shuffled for it. Of the tables stored on the way only the one that says which
+    rows stay is left behind.
     """
     from lorespark.llm.shingle_sets import set_rows, similar_groups  # it imports this module
 
     digest = F.xxhash64(*docs.columns)
-    rows = durable(set_rows(docs.select("doc_id", digest.alias("digest"), "text"), shingle, similarity))
-    found = similar_groups(docs, rows, shingle, similarity)
-    rows = rows.select("doc_id", "digest", "node")
-    grouped = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
-    kept = grouped.groupBy("root").agg(F.min(order).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.digest").alias("_digest"))
-    stays = durable(
-        rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-        .select(F.col("doc_id").alias("_simhash_id"), F.col("digest").alias("_simhash_digest"),
-                F.col("_digest").isNotNull().alias("stays"), "times")
-    )
+    with passing(docs.sparkSession):
+        rows = durable(set_rows(docs.select("doc_id", digest.alias("digest"), "text"), shingle, similarity))
+        found = similar_groups(docs, rows, shingle, similarity)
+        rows = rows.select("doc_id", "digest", "node")
+        grouped = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
+        kept = grouped.groupBy("root").agg(F.min(order).alias("kept"))
+        kept = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.digest").alias("_digest"))
+        stays = durable(
+            rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+            .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+            .select(F.col("doc_id").alias("_simhash_id"), F.col("digest").alias("_simhash_digest"),
+                    F.col("_digest").isNotNull().alias("stays"), "times"),
+            lasting=True,
+        )
     same = lambda other: docs["doc_id"].eqNullSafe(other["_simhash_id"]) & (digest == other["_simhash_digest"])
     gone = stays.filter("not stays or times > 1")
     touched = may_be_in(gone.select("_simhash_digest"))(digest)

@@ -164,3 +164,15 @@ def test_texts_that_stay_are_not_shuffled(spark):
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     joins = [part for part in plan.split("Join Left")[1:] if part.startswith(("Anti", "Semi"))]
     assert joins and all("passes(" in part.split("Relation")[0] for part in joins)
+
+
+def test_only_what_decides_the_rows_stays_on_disk(spark, tmp_path, monkeypatch):
+    from lorespark import session
+
+    monkeypatch.setattr(session, "scratch_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s")], "doc_id long, text string")
+    left = simhash.drop_near_copies(docs)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    session.durable(docs)  # outside of the block tables last
+    assert len(list(tmp_path.iterdir())) == 2
