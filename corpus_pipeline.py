@@ -7,13 +7,14 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import lorespark
 from lorespark.llm import decontamination, mixing, packing, simhash, toxicity
-from lorespark.session import durable
+from lorespark.session import bounded_batches, durable
 
 # Functions that run inside tasks travel with them; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(lorespark)
@@ -25,16 +26,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bounded(stage: Stage) -> Stage:
+    """The stage, with texts that travel to Python a few MiB at a time."""
+
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_bounded
+
+
+@_bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores 0.5 or more go."""
     return toxicity.drop_toxic(docs, docs, _table(spark, sf_dir, "labels"))
 
 
+@_bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by sets of five-word shingles, that of the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 
+@_bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words of a benchmark item in a row go."""
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -45,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_bounded
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in rows of equal length, written as binary matrices and read from these."""
     return packing.pack_files(docs)
