@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.frames import may_be_in
@@ -34,6 +34,8 @@ HOT = 64
 BATCH = 256
 ROUNDS = 2
 STEP = 20
+# Words of 64 bits of the sketch of a set.
+SKETCH = [f"sketch{i}" for i in range(8)]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -44,6 +46,22 @@ def set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each of 512 classes of shingles: whether the set holds an odd number of them."""
+    size = 64 * len(SKETCH)
+    odd = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def may_be_similar(similarity: float) -> Column:
+    """False only for sets of sizes ``n1, n2`` that are not similar, by their sketches.
+
+    A shingle that one set alone has turns one bit, so sets differ in no fewer shingles than sketches in bits.
+    """
+    bits = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
+    return bits <= (F.col("n1") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def first_shingles(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles a set is indexed by: rare ones by hash, then those of ``frequent`` by ``rank``."""
     n = len(hashes)
@@ -72,14 +90,15 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_rows(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``docs(..., text)`` with ``mark, node, print, n, first`` in place of ``text``: a hash of the text, the
-    name of its set, the fingerprint of its shingles, the size of the set and the shingles that index
-    it. Equal sets have equal names."""
+    """``docs(..., text)`` with ``mark, node, print, n, first`` and ``SKETCH`` in place of ``text``: a hash of
+    the text, the name of its set, the fingerprint of its shingles, the size of the set, the shingles that
+    index it, and its sketch. Equal sets have equal names."""
     frequent, rank = _frequent(docs, shingle)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             names, prints, sizes, firsts = [], [], [], [np.zeros(0, np.int64)]
+            sketches = [np.zeros((0, len(SKETCH)), np.int64)]
             # Only the indexing shingles of a batch are held, whole sets of a few texts at a time.
             for start in range(0, len(texts), BATCH):
                 hashes = [shingle_hashes(t, shingle) for t in texts.slice(start, BATCH).to_pylist()]
@@ -87,13 +106,15 @@ def set_rows(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 sets = [np.unique(h) for h in hashes]
                 names += [set_name(s) for s in sets]
                 sizes += [len(s) for s in sets]
+                sketches += [sketch(s)[None] for s in sets]
                 firsts += [first_shingles(s, similarity, frequent, rank).view(np.int64) for s in sets]
             ends = pa.array(np.cumsum([len(f) for f in firsts]), pa.int32())
             first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))
             numbers = [pa.array(x, pa.int64()) for x in (names, prints, sizes)]
-            yield pa.StructArray.from_arrays([*numbers, first], ["node", "print", "n", "first"])
+            words = [pa.array(w) for w in np.ascontiguousarray(np.concatenate(sketches).T)]
+            yield pa.StructArray.from_arrays([*numbers, first, *words], ["node", "print", "n", "first", *SKETCH])
 
-    named = F.arrow_udf(run, "node long, print long, n long, first array<long>")
+    named = F.arrow_udf(run, ", ".join(["node long, print long, n long, first array<long>", *(f"{c} long" for c in SKETCH)]))
     rest = [c for c in docs.columns if c != "text"]
     return docs.select(*rest, F.xxhash64("text").alias("mark"), named("text").alias("_set")).select(*rest, "mark", "_set.*")
 
@@ -155,7 +176,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
     A group is what similar pairs reach. Sets with linked fingerprints are compared first. Where over ``hot`` sets meet under a shingle, they are
     compared to one of them first, and later only with sets that they are not yet linked to; so a
     large group of near copies takes few comparisons. In the end every pair that shares enough
-    indexing shingles has been compared, or is linked already.
+    indexing shingles has been compared, is linked already, or is too far apart by its sketches.
     """
     met = Window.partitionBy("key")
     # Copies of a set have the same shingles; one of them is indexed.
@@ -164,7 +185,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
         .withColumn("low", F.min("node").over(met)).withColumn("high", F.max("node").over(met))
         .filter("low < high").select("node", "key")
     )
-    sizes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("mark", "print", "n")))
+    sizes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("mark", "print", "n", *SKETCH)))
     wanted = durable(
         shared.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(sizes, "node")
         .filter(F.col("keys") >= 1 + F.floor(F.col("n") * similarity / STEP - 1e-6)).drop("keys")
@@ -186,11 +207,12 @@ def similar_groups(docs: DataFrame, rows: DataFrame, shingle: int, similarity: f
             crowded = durable(rooted.join(apart.filter(F.col("here") > hot).select("key", "center", "at"), "key"))
             last = crowded.isEmpty()
         if last:
-            held = durable(rooted.select("node", "n", "key", "root").join(apart.select("key"), "key"))
-            one, two = (held.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root"))) for s in "12")
+            held = rooted.select("node", "n", "key", "root").join(apart.select("key"), "key")
+            held = durable(held.join(wanted.select("node", *SKETCH), "node"))
+            one, two = (held.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root", *SKETCH))) for s in "12")
             near = (F.col("root1") < F.col("root2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-6)
             pairs = (
-                one.join(two, "key").filter(near)
+                one.join(two, "key").filter(near & may_be_similar(similarity))
                 .select(*_pair(F.col("node1"), F.col("node2")), F.least("n1", "n2").alias("n"))
                 .groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("keys"))
                 .filter(F.col("keys") >= 1 + F.floor(F.col("n") / STEP)).select("a", "b")

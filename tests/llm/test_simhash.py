@@ -176,3 +176,36 @@ def test_only_what_decides_the_rows_stays_on_disk(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
     session.durable(docs)  # outside of the block tables last
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_sketches_spare_comparisons_and_lose_no_pair(spark, monkeypatch):
+    """A group of texts that are alike, but not enough to be linked, is not compared all with all."""
+    import random
+
+    from lorespark.llm import shingle_sets
+
+    rng = random.Random(8)
+    line = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(line)
+        for at in rng.sample(range(0, 150, 6), rng.choice((1, 3, 4))):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: set(shingle_sets.shingle_set(t, 5).tolist()) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group, tried = groups(list(sets), near), []
+    similar = shingle_sets._similar
+
+    def watched(pairs, *rest):
+        tried.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(shingle_sets, "_similar", watched)
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted({group[i] for i in sets})
+    apart = sum(group[a] != group[b] for a in sets for b in sets if a < b)
+    assert near and apart > 500 and tried[-1] < apart / 2
+    for a, b in near:
+        one, two = (shingle_sets.sketch(shingle_sets.shingle_set(rows[i][1], 5)) for i in (a, b))
+        assert sum(int(x).bit_count() for x in (one ^ two).view("uint64")) <= len(sets[a] ^ sets[b])
