@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from lorespark.llm import repeats
 from lorespark.llm.repeats import repeats_query, sliding_min
@@ -85,3 +87,43 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 1 << 60, 300).astype(np.uint64)
     for width in (1, 2, 5, 64, 69):
         assert (sliding_min(x, width) == [x[i : i + width].min() for i in range(len(x) - width + 1)]).all()
+
+
+def test_copies_of_a_batch_travel_as_runs():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=4000)) for _ in range(3)]
+    batch = pd.DataFrame([(i, 0, texts[i % 3]) for i in range(30)], columns=["doc", "mark", "text"])
+    (rows,) = repeats._stretch_rows(iter([batch]), 100)
+    runs = rows[rows["repeated"]]
+    assert list(zip(runs["doc"], runs["start"], runs["counts"] // 101)) == [(i, 0, 3901) for i in range(3, 30)]
+    assert (rows["doc"][~rows["repeated"]] < 3).all()
+
+
+def test_near_copies(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefgh ", k=1500))
+    rows = []
+    for i in range(40):
+        own = list(text)
+        for at in rng.sample(range(1500), rng.choice([1, 5, 20])):
+            own[at] = rng.choice("XYZ")
+        rows.append((i, "".join(own[rng.randrange(200) :])))
+    check(spark, rows)
+
+
+def test_texts_of_one_id(spark, monkeypatch):
+    rng = random.Random(10)
+    one, two, three = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(1, one + two), (1, two + three), (1, two + three), (2, three), (None, one), (None, one + "!")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(3)
+    assert {r.mark == 0 for r in marked(df).collect() if r.doc == 2} == {True}
+    for most in (10, 0):
+        monkeypatch.setattr(repeats, "FETCH_ROWS", most)
+        got = sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in repeats_query(df).collect())
+        first = sum(n for i, _, n in got if i == 1)
+        # `two` goes from one of the texts of id 1: from the single row or from both equal ones.
+        assert first in (300, 600) and got[3:] == [(2, 300, 300), (9, 300, 300), (9, 301, 300)]
+
+
+def marked(df):
+    return repeats._marked(df.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("mark")))
