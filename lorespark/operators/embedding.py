@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.functions.arrays import bind, run_lengths
 from lorespark.functions.text import terms
 from lorespark.schemas import UNKNOWN_MODEL_DIMENSION
+from lorespark.session import bounded_batches
 
 Embedder = Callable[[Column], Column]
 
@@ -19,48 +23,50 @@ MODEL_DIMENSIONS = {
     "text-embedding-3-large": 3072,
     "text-embedding-ada-002": 1536,
 }
+# Counts that are held at a time while the vectors of a batch are made.
+BAG_CELLS = 1 << 20
 
 
 def model_dimension(model: str) -> int:
     return MODEL_DIMENSIONS.get(model, UNKNOWN_MODEL_DIMENSION)
 
 
-def term_bucket(term: Column, dim: int) -> Column:
-    """Bucket of a term: the first 32 bits of its md5, modulo the width."""
-    head = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
-    return F.pmod(head, F.lit(dim)).cast("int")
+def _buckets(terms: pa.Array, dim: int) -> np.ndarray:
+    """Bucket of each term: the first 32 bits of its md5, modulo the width. Each distinct term is hashed once."""
+    coded = terms.dictionary_encode()
+    heads = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in coded.dictionary.to_pylist()]
+    return (np.array(heads, np.int64) % dim)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def bag_vectors(terms: pa.Array, dim: int) -> pa.Array:
+    """The vector of each list of terms: how many lie in each bucket, scaled to unit length."""
+    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    flat, ends, out = terms.flatten(), np.cumsum(lengths), []
+    row, buckets = np.repeat(np.arange(len(terms)), lengths), _buckets(flat, dim) if len(flat) else np.zeros(0, np.int64)
+    step = max(1, BAG_CELLS // dim)
+    for start in range(0, len(terms), step):
+        end = min(start + step, len(terms))
+        own = slice(ends[start] - lengths[start], ends[end - 1])
+        cells = (row[own] - start) * dim + buckets[own]
+        counts = np.bincount(cells, minlength=(end - start) * dim).reshape(end - start, dim).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        out.append((counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32).ravel())
+    values = np.concatenate([np.zeros(0, np.float32), *out])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1) * dim, pa.int32()), pa.array(values))
 
 
 def hashed_bag(dim: int = 64) -> Embedder:
     """Embedder: term counts hashed into ``dim`` buckets, scaled to unit length.
 
-    A text without terms gives the zero vector.
+    A text without terms gives the zero vector. Spark finds the terms; a batch of them is counted
+    as arrays, so that a term is hashed once a batch and not wherever it stands.
     """
 
-    def dense(counts: Column) -> Column:
-        table = F.map_from_entries(counts)
-        norm = F.sqrt(
-            F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"].cast("double") * c["n"])
-        )
-        return bind(
-            F.struct(table.alias("t"), norm.alias("norm")),
-            lambda v: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda b: (F.coalesce(F.try_element_at(v["t"], b), F.lit(0)) / v["norm"]).cast(
-                    "float"
-                ),
-            ),
-        )
-
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-
-    def embedder(text: Column) -> Column:
-        buckets = F.transform(terms(text), lambda t: term_bucket(t, dim))
-        return bind(
-            run_lengths(buckets), lambda c: F.when(c.isNull(), zero).otherwise(dense(c))
-        )
+    def vectors(found: pa.Array) -> pa.Array:
+        return bag_vectors(found, dim)
 
-    return embedder
+    counted = F.arrow_udf(vectors, "array<float>")
+    return lambda text: counted(terms(text))
 
 
 def embed(
@@ -71,9 +77,10 @@ def embed(
 ) -> DataFrame:
     """One vector per row, beside the row it belongs to.
 
-    ``embedder`` maps a text column to an ``array<float>`` column: the native hashed bag, or
+    ``embedder`` maps a text column to an ``array<float>`` column: the hashed bag, or
     an iterator ``pandas_udf`` that loads a model once per worker.
     """
+    bounded_batches(df.sparkSession)
     return df.withColumn(out, (embedder or hashed_bag())(F.col(text_col)))
 
 

@@ -1,15 +1,19 @@
 """Chunking, terms, file names, globs and embedding."""
 
 import fnmatch
+import hashlib
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import any_glob, glob_regex, terms
+from lorespark.operators import embedding
 from lorespark.operators.chunking import (
     chunk_config,
     symbol_chunk,
@@ -199,3 +203,22 @@ def test_start_of_two_lines_is_one_boundary(spark):
 def test_marks_after_letters_stay_in_the_word(spark):
     df = spark.createDataFrame([("Cafe\u0301 nai\u0308ve caf\u00e9",)], "t string")
     assert df.select(terms(F.col("t"))).first()[0] == ["cafe", "naive", "cafe"]
+
+
+def test_bag_hashes_a_term_once_a_batch(monkeypatch):
+    rows = [["a", "b", "a"], [], None, ["c", "a"] * 40, ["b"]] * 9
+    buckets = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8 for t in "abc"}
+    want = []
+    for row in rows:
+        counts = [sum(buckets[t] == b for t in row or []) for b in range(8)]
+        norm = sum(n * n for n in counts) ** 0.5 or 1.0
+        want.append([float(np.float32(n / norm)) for n in counts])
+    hashed = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda t: hashed.append(t) or md5(t))
+    for cells in (1 << 20, 24, 1):
+        monkeypatch.setattr(embedding, "BAG_CELLS", cells)
+        assert embedding.bag_vectors(pa.array(rows, pa.list_(pa.string())), 8).to_pylist() == want
+        assert sorted(hashed) == [b"a", b"b", b"c"]
+        hashed.clear()
+    assert embedding.bag_vectors(pa.array([], pa.list_(pa.string())), 8).to_pylist() == []
