@@ -178,8 +178,8 @@ def _pieces(batch: pd.DataFrame) -> Iterator[tuple]:
         yield row, at[np.argsort(at[:, 0], kind="stable")]
 
 
-def _excerpts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A row for each of ``places``, with the bytes that its strings cover."""
+def _string_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """A row for each run of strings in ``places``, with the bytes that they cover."""
     for batch in batches:
         found, size = [], 0
         for row in batch.itertuples(index=False):
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     string = F.substring("excerpt", F.col("nth") + 1, F.lit(length))
     later = (
         table.join(unsettled, key).select(*key, "text", "places").mapInPandas(
-            lambda batches: _excerpts(batches, length), ", ".join(f"{k} long" for k in EXCERPT[:-1]) + ", excerpt binary"
+            lambda batches: _string_rows(batches, length), ", ".join(f"{k} long" for k in EXCERPT[:-1]) + ", excerpt binary"
         )
         .repartition("core")
         .select("*", F.explode(F.sequence(F.lit(0), F.col("strings").cast("int") - 1)).alias("nth"))
