@@ -83,7 +83,9 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
     met = share.mapInPandas(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    top = met.filter(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "key").limit(MOST_FREQUENT).toPandas()
+    top = met.filter(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "key").limit(MOST_FREQUENT)
+    # Stored first: collected at once, the driver would merge as many rows of each partition.
+    top = durable(top).toPandas().sort_values(["times", "key"], ascending=[False, True])
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], -order

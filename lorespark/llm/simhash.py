@@ -78,7 +78,8 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
         .select("print", F.shiftleft(F.col("bit").cast("long"), 32).bitwiseOR(F.col("half")).alias("key"))
     )
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = durable(keyed.join(shared, "key"))
+    # Spark takes exploded rows to be as many as those before, and would broadcast what is many times larger.
+    members = durable(keyed.hint("merge").join(shared, "key"))
 
     def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
         one = rows.select(*keys, F.col("print").alias("a"))

@@ -209,3 +209,47 @@ def test_sketches_spare_comparisons_and_lose_no_pair(spark, monkeypatch):
     for a, b in near:
         one, two = (shingle_sets.sketch(shingle_sets.shingle_set(rows[i][1], 5)) for i in (a, b))
         assert sum(int(x).bit_count() for x in (one ^ two).view("uint64")) <= len(sets[a] ^ sets[b])
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them to be as many as the fingerprints, which are 64 times fewer."""
+    stored, durable = [], simhash.durable
+
+    def watched(df, *rest):
+        stored.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, *rest)
+
+    monkeypatch.setattr(simhash, "durable", watched)
+    prints = spark.range(500).withColumnRenamed("id", "print")
+    assert int(prints._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10000
+    got = {tuple(r) for r in simhash.links(prints).collect()}
+    assert got == {(a, b) for b in range(500) for a in range(b) if (a ^ b).bit_count() <= 2}
+    joined = [plan for plan in stored if "Generate explode" in plan]
+    assert joined and not any("Broadcast" in plan for plan in joined)
+
+
+def test_frequent_shingles_are_found_before_they_reach_the_driver(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lorespark.llm import shingle_sets
+
+    monkeypatch.setattr(shingle_sets, "MOST_FREQUENT", 40)
+    rows = [(i, f"no {i} " + " ".join(f"w{j}" for j in range(i % 97))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    share = docs.filter(F.pmod(F.xxhash64("text"), F.lit(shingle_sets.SHARE)) == 0).collect()
+    times = Counter(k for r in share for k in shingle_sets.shingle_set(r.text, 5).view("int64").tolist())
+    want = sorted((k for k in times if times[k] >= shingle_sets.FREQUENT), key=lambda k: (-times[k], k))
+    assert len(want) > 40
+    collected, to_pandas = [], type(docs).toPandas
+
+    def watched(df):
+        collected.append(df._jdf.queryExecution().executedPlan().toString())
+        return to_pandas(df)
+
+    monkeypatch.setattr(type(docs), "toPandas", watched)
+    keys, rank = shingle_sets._frequent(docs, 5)
+    assert (keys[:-1] < keys[1:]).all()
+    assert keys[rank.argsort()].view("int64").tolist() == want[:40][::-1]
+    assert len(collected) == 1 and "TakeOrdered" not in collected[0]
