@@ -78,7 +78,8 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
         .select("print", F.shiftleft(F.col("bit").cast("long"), 32).bitwiseOR(F.col("half")).alias("key"))
     )
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    # Spark takes exploded rows to be as many as those before, and would broadcast what is many times larger.
+    # Spark takes exploded rows to be as many as those before, and stored ones to be as small as their files, so it
+    # would broadcast what is many times larger. Hence the hints, here and below.
     members = durable(keyed.hint("merge").join(shared, "key"))
 
     def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +91,7 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
         apart = F.col("a").bitwiseXOR(F.col("b"))
         differs = F.call_function("shiftrightunsigned", apart, bit).bitwiseAND(F.lit(1)) == 1
         whole = F.when(bit < 32, apart.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(apart, 32)) == 0
-        return one.join(two, keys).filter(close & (differs | (whole & (bit % 32 == 0)))).select("a", "b")
+        return one.hint("merge").join(two, keys).filter(close & (differs | (whole & (bit % 32 == 0)))).select("a", "b")
 
     other = F.when(F.shiftright("key", 32) < 32, high).otherwise(low)
     quarter = F.when(F.col("bit") < 16, other.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftrightunsigned(other, 16))

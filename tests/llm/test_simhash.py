@@ -253,3 +253,11 @@ def test_frequent_shingles_are_found_before_they_reach_the_driver(spark, monkeyp
     assert (keys[:-1] < keys[1:]).all()
     assert keys[rank.argsort()].view("int64").tolist() == want[:40][::-1]
     assert len(collected) == 1 and "TakeOrdered" not in collected[0]
+
+
+def test_members_of_keys_are_not_broadcast_to_be_paired(spark):
+    """Their files are small where keys and fingerprints repeat, and crowded keys are exploded again."""
+    prints = spark.range(500).withColumnRenamed("id", "print")
+    for hot in (2, 1000):
+        plan = simhash.links(prints, hot)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
