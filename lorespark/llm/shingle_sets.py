@@ -166,9 +166,10 @@ def _print_pairs(nodes: DataFrame) -> DataFrame:
     gives no more pairs than it has fingerprints. What these do not confirm is left to the join.
     """
     firsts = durable(nodes.groupBy("print").agg(F.min("node").alias("first")))
-    equal = nodes.join(firsts, "print").filter("node <> first").select(*_pair(F.col("node"), F.col("first")))
+    # A broadcast of numbers takes some eight times the file that Spark goes by, and here there would be several at once.
+    equal = nodes.hint("merge").join(firsts, "print").filter("node <> first").select(*_pair(F.col("node"), F.col("first")))
     one, two = (firsts.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
-    near = print_links(firsts.select("print")).groupBy("b").agg(F.min("a").alias("a")).join(one, "a").join(two, "b")
+    near = print_links(firsts.select("print")).groupBy("b").agg(F.min("a").alias("a")).hint("merge").join(one, "a").hint("merge").join(two, "b")
     return equal.unionByName(near.select(*_pair(F.col("first_a"), F.col("first_b"))))
 
 

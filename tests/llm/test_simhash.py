@@ -261,3 +261,16 @@ def test_members_of_keys_are_not_broadcast_to_be_paired(spark):
     for hot in (2, 1000):
         plan = simhash.links(prints, hot)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_first_sets_of_fingerprints_are_not_broadcast(spark):
+    from lorespark.llm import shingle_sets
+
+    nodes = spark.range(300).selectExpr("id + 1000 node", "id div 2 print")
+    pairs = shingle_sets._print_pairs(nodes)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # Each set of an odd id has the print of the one before; each print is linked to the least near it.
+    least = {b: min((a for a in range(b) if (a ^ b).bit_count() <= 2), default=None) for b in range(150)}
+    want = {(i + 999, i + 1000) for i in range(1, 300, 2)} | {(1000 + 2 * a, 1000 + 2 * b) for b, a in least.items() if a is not None}
+    assert {tuple(r) for r in pairs.collect()} == want
